@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,11 +39,14 @@ def attach(
     Beyond that, groups holding at least 1/``HOT_PARTS`` of the rows (so at most
     ``HOT_PARTS`` groups) are broadcast, and their rows are scattered by ``spread`` in the
     shuffled join that serves all other groups; no task receives a hot group whole.
-    ``weight`` is the column of ``groups`` that counts the group's rows.
+    ``weight`` is the column of ``groups`` that counts the group's rows. A large group
+    table stays cached, since it is read several times.
     """
     spark = rows.sparkSession
+    groups = groups.persist(StorageLevel.MEMORY_AND_DISK)
     known = groups.limit(BROADCAST_ROWS + 1).collect()
     if len(known) <= BROADCAST_ROWS:
+        groups.unpersist()
         small = spark.createDataFrame(known, groups.schema)
         return keyed_join(rows, F.broadcast(small), keys, how)
 

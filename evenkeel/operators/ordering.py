@@ -173,16 +173,21 @@ def running_max(
 
 
 def exact_quantiles(
-    rows: DataFrame, keys: list[str], value: str, probs: dict[str, float]
+    rows: DataFrame,
+    keys: list[str],
+    value: str,
+    probs: dict[str, float],
+    weight: str | None = None,
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles per group, one column per entry of ``probs``.
 
-    NULL values are ignored. Only the cells that contain a wanted position are sorted, so
+    ``weight`` names a column that says how often a row counts. NULL values are ignored. Only the cells that contain a wanted position are sorted, so
     neither a huge group nor many distinct values ever sit in one task. Groups without any
     value are absent from the result.
     """
     data = rows.filter(F.col(value).isNotNull())
-    counts = data.groupBy(*keys, value).agg(F.count("*").alias("__n"))
+    repeats = F.sum(weight) if weight else F.count("*")
+    counts = data.groupBy(*keys, value).agg(repeats.alias("__n"))
     cell_rows = counts.withColumn("__cell", value_cells(data, value))
     every = Window.partitionBy(*keys)
     offsets = (

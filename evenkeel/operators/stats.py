@@ -1,20 +1,20 @@
 """Paired non-parametric comparisons of methods, all hypotheses in one grouped plan.
 
 Tables of pairs have the hypothesis key columns plus ``x`` (treatment) and ``y``
-(baseline). Everything that grows with the number of pairs runs as grouped aggregates;
-Python only turns a hypothesis' final statistics into a p-value.
+(baseline). Everything that grows with the number of pairs runs as grouped aggregates; the
+final statistics of a hypothesis become a p-value in column expressions.
 """
 
 from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.functions.hashing import hash32
 from evenkeel.operators.joins import attach, explode_range, keyed_join
+from evenkeel.operators.lineage import cut_lineage
 from evenkeel.operators.ordering import (
     exact_quantiles,
     hash_rank,
@@ -97,32 +97,47 @@ def signed_ranks(pairs: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _exact_signed_rank(n: int, w: float) -> float:
-    """Two-sided p of the smaller rank sum ``w``: subsets of 1..n by their sum."""
-    ways = [1] + [0] * (n * (n + 1) // 2)
-    for k in range(1, n + 1):
-        for total in range(len(ways) - 1, k - 1, -1):
-            ways[total] += ways[total - k]
-    return min(1.0, 2 * sum(ways[: int(w) + 1]) / 2**n)
-
-
-def _signed_rank_p(n: int, w_plus: float, w_minus: float, ties: float, zeros: int) -> float:
-    if n == 0:
-        return 1.0
-    if n + zeros <= EXACT_PAIRS and ties == 0 and zeros == 0:
-        return _exact_signed_rank(n, min(w_plus, w_minus))
-    spread = math.sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24)
-    z = (w_plus - n * (n + 1) / 4) / spread
-    return math.erfc(abs(z) / math.sqrt(2))
-
-
-@F.pandas_udf("double")
-def signed_rank_p(
-    n: pd.Series, w_plus: pd.Series, w_minus: pd.Series, ties: pd.Series, zeros: pd.Series
-) -> pd.Series:
-    """p-value per hypothesis: exact for few pairs without ties or zeros, else normal."""
-    return pd.Series(
-        [_signed_rank_p(int(a), b, c, d, int(e)) for a, b, c, d, e in zip(n, w_plus, w_minus, ties, zeros)]
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
+
+
+def normal_tail(z: Column) -> Column:
+    """Two-sided tail of the standard normal, by Simpson's rule over twelve deviations."""
+    steps, width = 4_000, 0.003
+    weight = lambda i: F.when(i.isin(0, steps), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
+    density = lambda i: F.exp(-F.pow(F.abs(z) + i * width, 2) / 2)
+    area = _sum(F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: weight(i) * density(i)))
+    return 2 * area * F.lit(width / 3 / math.sqrt(2 * math.pi))
+
+
+def exact_signed_rank(n: Column, w: Column) -> Column:
+    """Two-sided exact p of the smaller rank sum ``w``, for n up to ``EXACT_PAIRS``.
+
+    Counts the subsets of 1..n by their sum, adding one rank at a time.
+    """
+    size = F.greatest(F.least(n, F.lit(EXACT_PAIRS)), F.lit(1)).cast("int")
+    ways = F.aggregate(
+        F.sequence(F.lit(1), size),
+        F.array(F.lit(1.0)),
+        lambda acc, k: F.transform(
+            F.sequence(F.lit(0), F.size(acc) + k - 1),
+            lambda i: F.coalesce(F.get(acc, i), F.lit(0.0)) + F.coalesce(F.get(acc, i - k), F.lit(0.0)),
+        ),
+    )
+    below = F.slice(ways, F.lit(1), F.floor(w).cast("int") + 1)
+    return F.least(F.lit(1.0), 2 * _sum(below) / F.pow(F.lit(2.0), size))
+
+
+def signed_rank_p(n: Column, w_plus: Column, w_minus: Column, ties: Column, zeros: Column) -> Column:
+    """Exact for few pairs without ties or zeros, else normal with tie correction."""
+    m = n.cast("double")
+    spread = F.sqrt((m * (m + 1) * (2 * m + 1) - ties / 2) / 24)
+    z = F.try_divide(w_plus - m * (m + 1) / 4, spread)
+    exact = (n <= EXACT_PAIRS) & (ties == 0) & (zeros == 0)
+    return (
+        F.when(n == 0, F.lit(1.0))
+        .when(exact, exact_signed_rank(n, F.least(w_plus, w_minus)))
+        .otherwise(normal_tail(z))
     )
 
 
@@ -132,32 +147,45 @@ def signed_rank_test(pairs: DataFrame, keys: list[str]) -> DataFrame:
     full = keyed_join(zeros, signed_ranks(pairs, keys), keys, "left").fillna(
         0, ["n_used", "w_plus", "w_minus", "tie_term"]
     )
-    return full.withColumn(
-        "p_value", signed_rank_p("n_used", "w_plus", "w_minus", "tie_term", "n_zero")
-    )
+    stats = [F.col(c) for c in ("n_used", "w_plus", "w_minus", "tie_term", "n_zero")]
+    return full.withColumn("p_value", signed_rank_p(*stats))
 
 
 # ---------------------------------------------------------------------------- sign test
 
 
-def _sign_p(up: int, n: int) -> float:
-    """Exact two-sided binomial(1/2) tail, summed from its largest term downwards."""
-    if n == 0:
-        return 1.0
-    k = min(up, n - up)
-    log_term = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2)
-    term = total = 1.0
-    for j in range(k, 0, -1):
-        term *= j / (n - j + 1)
-        total += term
-        if term < total * 1e-18:
-            break
-    return min(1.0, 2 * math.exp(log_term) * total)
+def log_factorial(n: Column) -> Column:
+    """ln(n!) by Stirling's series at n + 11, stepped back by exact factors."""
+    x = n.cast("double") + 11
+    series = (
+        (x - 0.5) * F.ln(x) - x + F.lit(0.5 * math.log(2 * math.pi))
+        + 1 / (12 * x) - 1 / (360 * F.pow(x, 3)) + 1 / (1260 * F.pow(x, 5))
+    )
+    factors = F.lit(1.0)
+    for i in range(1, 11):
+        factors = factors * (n.cast("double") + i)
+    return series - F.ln(factors)
 
 
-@F.pandas_udf("double")
-def sign_p(up: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([_sign_p(int(a), int(b)) for a, b in zip(up, n)])
+def sign_p(up: Column, n: Column) -> Column:
+    """Exact two-sided binomial(1/2) tail.
+
+    The largest term comes from factorials; the others follow by ratios, as far out as they
+    can matter.
+    """
+    k = F.least(up, n - up)
+    lead = log_factorial(n) - log_factorial(k) - log_factorial(n - k) - n * F.lit(math.log(2))
+    reach = F.least(k, F.ceil(20 * F.sqrt(n)) + 50).cast("int")
+    ratios = F.transform(F.sequence(F.lit(0), reach), lambda i: (k - i) / (n - k + i + 1))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("total"))
+    tail = F.aggregate(
+        ratios,
+        start,
+        lambda acc, q: F.struct(
+            (acc["term"] * q).alias("term"), (acc["total"] + acc["term"]).alias("total")
+        ),
+    )["total"]
+    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * F.exp(lead) * tail))
 
 
 def sign_test(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -166,7 +194,7 @@ def sign_test(pairs: DataFrame, keys: list[str]) -> DataFrame:
         F.count_if(F.col("x") > F.col("y")).alias("n_up"),
         F.count_if(F.col("x") != F.col("y")).alias("n_used"),
     )
-    return counts.withColumn("sign_p", sign_p("n_up", "n_used"))
+    return counts.withColumn("sign_p", sign_p(F.col("n_up"), F.col("n_used")))
 
 
 # ------------------------------------------------------------------------------ symmetry
@@ -179,10 +207,16 @@ def _symmetry(n: Column, mean: Column, median: Column, spread: Column) -> Column
     )
 
 
-def symmetry_statistic(diffs: DataFrame, keys: list[str]) -> DataFrame:
-    """sqrt(n) (mean - median) / (sqrt(pi/2) mean|d - median|) of column ``d``; 0 if constant."""
-    medians = exact_quantiles(diffs, keys, "d", {"median": 0.5})
-    counts = diffs.groupBy(*keys, "d").agg(F.count("*").alias("w"))
+def difference_counts(diffs: DataFrame, keys: list[str]) -> DataFrame:
+    return diffs.groupBy(*keys, "d").agg(F.count("*").alias("w"))
+
+
+def symmetry_statistic(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """sqrt(n) (mean - median) / (sqrt(pi/2) mean|d - median|) of column ``d``; 0 if constant.
+
+    ``counts`` comes from :func:`difference_counts`.
+    """
+    medians = exact_quantiles(counts, keys, "d", {"median": 0.5}, "w")
     sums = keyed_join(counts, medians, keys).groupBy(*keys).agg(
         F.sum("w").alias("n"),
         F.max("median").alias("median"),
@@ -206,7 +240,7 @@ def symmetry_test(
     replicate ``rep`` takes pool position hash(seed, keys, rep, pos) mod 2n, positions
     being hash ranks of ``row_id``, then their mirror images.
     """
-    observed = symmetry_statistic(diffs, keys)
+    observed = cut_lineage(symmetry_statistic(difference_counts(diffs, keys), keys))
     ranked = keyed_join(hash_rank(diffs, keys, row_id, seed, "__rank"), observed, keys)
     centred = F.col("d") - F.col("median")
     one = F.lit(1).cast("bigint")
@@ -228,7 +262,8 @@ def symmetry_test(
         *keys, "rep", F.pmod(hash32(seed, *keys, "rep", "pos"), 2 * F.col("n")).alias("idx"), "__i"
     )
     sample = attach(indexed, pool, [*keys, "idx"], "w", F.col("__i")).select(*keys, "rep", "d")
-    null = symmetry_statistic(sample, [*keys, "rep"]).select(
+    drawn = cut_lineage(difference_counts(sample, [*keys, "rep"]))
+    null = symmetry_statistic(drawn, [*keys, "rep"]).select(
         *keys, F.col("symmetry_stat").alias("t")
     )
     limit = observed.select(*keys, F.abs("symmetry_stat").alias("limit"))
@@ -291,7 +326,7 @@ def compare_methods(
     ``directions`` maps each metric to 'lower' or 'higher' (which one is better).
     """
     metrics = list(directions)
-    pairs = paired_values(results, keys, method, treatment, baselines, metrics)
+    pairs = cut_lineage(paired_values(results, keys, method, treatment, baselines, metrics))
     means = pairs.groupBy(*HYPOTHESIS).agg(
         F.count("*").alias("n_pairs"),
         F.avg("x").alias("treatment_mean"),
@@ -317,7 +352,7 @@ def compare_methods(
 def hypothesis_table(comparison: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """Add family-wise corrections and decisions to :func:`compare_methods` rows."""
     spread = F.concat_ws("|", *HYPOTHESIS)
-    table = holm_adjust(comparison, [], "p_value", spread, "p_holm")
+    table = holm_adjust(cut_lineage(comparison), [], "p_value", spread, "p_holm")
     table = holm_adjust(table, [], "sign_p", spread, "sign_p_holm")
     significant = F.col("p_holm") < alpha
     return table.withColumns(

@@ -76,7 +76,10 @@ def booleans_to_numbers(df: DataFrame) -> DataFrame:
 
 
 def assemble(df: DataFrame, features: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=features, outputCol="features").transform(df)
+    """Add the ``features`` vector; any column name works, also one with dots."""
+    plain = {f"__f{i}": F.col(f"`{c}`").cast("double") for i, c in enumerate(features)}
+    ready = df.withColumns(plain) if plain else df
+    return VectorAssembler(inputCols=list(plain), outputCol="features").transform(ready).drop(*plain)
 
 
 def fit_predict(

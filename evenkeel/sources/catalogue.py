@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.functions.recode import PREPARERS
 from evenkeel.operators.clean import prepare_model
+from evenkeel.operators.lineage import cut_lineage
 from evenkeel.roles import MODELS
 from evenkeel.sources.tables import load_dataset
 
@@ -78,11 +79,10 @@ def load_task_sample(
 ) -> DataFrame:
     """Read a catalogue dataset below ``root`` and prepare it for one protected attribute.
 
-    The file must carry a unique ``row_id`` column, or one is made from the row content's
-    position when the file is small enough to sit in one partition.
+    A file without ``row_id`` gets one, fixed by a checkpoint so that it cannot change.
     """
     entry = {d[0]: d for d in DATASETS}[name]
     raw = load_dataset(spark, f"{root}/{entry[1]}", schema)
     if row_id not in raw.columns:
-        raw = raw.withColumn(row_id, F.monotonically_increasing_id())
+        raw = cut_lineage(raw.withColumn(row_id, F.monotonically_increasing_id()))
     return prepare_sample(raw, entry[2], entry[4], protected, row_id)
