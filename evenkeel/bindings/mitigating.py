@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from evenkeel.bindings.check import r6
@@ -36,7 +38,7 @@ def reweigh_values(spark, d):
 
 def repair_feature(spark, d):
     rows = applicants(spark, d).select("row_id", "balance", "segment", "target")
-    done = mitigation.repair_feature(rows, APPLICANT.with_(protected="segment"), "balance")
+    done = mitigation.repair_features(rows, APPLICANT.with_(protected="segment"), ["balance"])
     return done.select("row_id", "segment", r6("balance"))
 
 
@@ -48,20 +50,27 @@ def repair_ties(spark, d):
         "l_returnflag",
     )
     roles = APPLICANT.with_(protected="l_returnflag")
-    return mitigation.repair_feature(line, roles, "l_quantity").groupBy("l_returnflag", "l_quantity").agg(
+    return mitigation.repair_features(line, roles, ["l_quantity"]).groupBy("l_returnflag", "l_quantity").agg(
         F.count("*").alias("n")
     )
 
 
+def repair_all(spark, d):
+    """All numeric features at once, between two groups."""
+    rows = applicants(spark, d).select("row_id", "amount", "balance", "age", "sex", "target")
+    done = mitigation.repair_features(rows, APPLICANT)
+    return done.select("row_id", r6("amount"), r6("balance"), r6("age"), "sex", "target")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (quadrant_oversample, binarize_mode, reweigh, reweigh_values, repair_feature, repair_ties)
+    for f in (quadrant_oversample, binarize_mode, reweigh, reweigh_values, repair_feature, repair_ties, repair_all)
 }
 
 
-def _repair_sql(source: str, g: str, v: str) -> str:
+def _repair_sql(source: str, g: str, v: str, n: str = "") -> str:
     """Repaired values of ``v`` per (group, value), by the grid of the smallest group."""
-    return f"""cnt as (select {g} as g, {v}::double as v, count(*) as n from {source} group by all),
+    text = f"""cnt as (select {g} as g, {v}::double as v, count(*) as n from {source} group by all),
 placed as (select *, coalesce(sum(n) over (partition by g order by v rows between unbounded preceding and 1 preceding), 0)::bigint as before,
   (sum(n) over (partition by g))::bigint as size from cnt),
 steps as (select min(size) as b from placed),
@@ -69,6 +78,9 @@ grid as (select g, size, q, (q * size) // b as pos from (select distinct g, size
 target as (select q, quantile_cont(v, 0.5) as v_new from grid join placed p using (g)
   where pos >= p.before and pos < p.before + p.n group by q),
 mapping as (select g, v, v_new from placed, steps join target on q = (before * b) // size)"""
+    for name in ("cnt", "placed", "steps", "grid", "target", "mapping") if n else ():
+        text = re.sub(rf"\b{name}\b", f"{name}{n}", text)
+    return text
 
 
 SQL = {
@@ -93,4 +105,9 @@ select row_id, a.nation, round(coalesce(w, 1.0), 6) as weight from applicants a
 select row_id, segment, round(v_new, 6) as balance from applicants join mapping on g = segment and v = balance""",
     "repair_ties": f"""with {_repair_sql('lineitem', 'l_returnflag', 'l_quantity')}
 select l_returnflag, v_new as l_quantity, count(*) as n from lineitem join mapping on g = l_returnflag and v = l_quantity group by all""",
+    "repair_all": f"""with {APPLICANTS}, {_repair_sql('applicants', 'sex', 'amount', '1')}, {_repair_sql('applicants', 'sex', 'balance', '2')},
+{_repair_sql('applicants', 'sex', 'age', '3')}
+select row_id, round(a.v_new, 6) as amount, round(b.v_new, 6) as balance, round(c.v_new, 6) as age, sex, target
+from applicants join mapping1 a on a.g = sex and a.v = amount join mapping2 b on b.g = sex and b.v = balance
+join mapping3 c on c.g = sex and c.v = age""",
 }

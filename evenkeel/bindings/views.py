@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenkeel.functions.hashing import hash32
-from evenkeel.roles import Roles
+from evenkeel.roles import TECHNIQUES, Roles
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -274,8 +274,6 @@ NAMES_SQL = (
 
 def stored_text(spark: SparkSession, d: str) -> DataFrame:
     """Stored score rows as text, many per key, one or two practices each."""
-    from evenkeel.roles import TECHNIQUES
-
     o = table(spark, d, "orders")
     h = hash32("store", "o_orderkey")
     a, b = _pick(TECHNIQUES, h % 8), _pick(TECHNIQUES, F.floor(h / 8) % 8)
@@ -314,19 +312,7 @@ STORE_TEXT = f"""stored_text as (
          case when o_orderpriority = '1-URGENT' then '' else o_totalprice::varchar end as fairness,
          o_totalprice::varchar as performance
   from (select *, {NAMES_SQL}[(h % 8 + 1)::int] as a, {NAMES_SQL}[((h // 8) % 8 + 1)::int] as b
-        from (select *, {h_sql('store', 'o_orderkey')} as h from orders))),
-store as (
-  select dataset, model, protected_attribute, target_column, techniques,
-         arg_max(nullif(fitness, ''), ord) as f0, max(ord) as last
-  from (select * replace (case when techniques = '' then '[]' else techniques end as techniques) from stored_text)
-  group by all),
-scores as (
-  select s.dataset, s.model, s.protected_attribute, s.target_column,
-         replace(replace(replace(s.techniques, '[', ''), ']', ''), '"', '') as techniques,
-         case when isnan(nullif(t.fitness, '')::double) then '-inf'::double else nullif(t.fitness, '')::double end as fitness,
-         nullif(t.fairness, '')::double as fairness,
-         nullif(t.performance, '')::double as performance
-  from store s join stored_text t on s.last = t.ord)"""
+        from (select *, {h_sql('store', 'o_orderkey')} as h from orders)))"""
 
 
 # ------------------------------------------------------------- populations (customer)

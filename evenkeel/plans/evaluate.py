@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.ml.classification import (
@@ -117,10 +118,13 @@ def cross_predict(folded: DataFrame, model: str, k: int = FOLDS) -> DataFrame |
             parts.append(part.drop("features"))
     if not parts:
         return None
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    return union
+    done = cut_lineage(union_all(parts))
+    rows.unpersist()
+    return done
+
+
+def union_all(parts: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def label_problem(df: DataFrame, target: str) -> bool:
@@ -173,7 +177,6 @@ def evaluate_practices(
     preds = search_predictions(df, techniques, model, roles, mode)
     if preds is None:
         return infeasible(df.sparkSession)
-    preds = cut_lineage(preds)
     folds = keyed_join(performance(preds, ["fold"]), fairness(preds, ["fold"]), ["fold"])
     one = folds.withColumn("run", F.lit(0))
     return combined_fitness(one, ["run"], perf_weight, fair_weight).select(
@@ -201,12 +204,11 @@ def baseline_predictions(df: DataFrame, method: str, model: str, roles: Roles) -
         )
         target = assemble(test.withColumn("y", F.col(roles.target).cast("int")), features)
         part = fit_predict(kept, target, model, weight)
+        kept.unpersist()
         if part is None:
             raise ValueError("a training part holds a single class")
         parts.append(part.select(*base.fieldNames(), "y", "raw"))
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
+    union = union_all(parts)
     if model in PROBABILISTIC:
         scored = union.withColumn("score", F.col("raw"))
     else:

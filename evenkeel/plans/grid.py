@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.functions.ratios import is_finite
 from evenkeel.operators.search import genetic_search
-from evenkeel.plans.evaluate import evaluate_baseline, evaluate_practices
+from evenkeel.plans.evaluate import evaluate_baseline, evaluate_practices, union_all
 from evenkeel.roles import TECHNIQUES, Roles
 from evenkeel.sources.results import result_rows
 from evenkeel.sources.scores import SCORE_KEYS, score_lookup, score_misses
@@ -21,10 +19,6 @@ MITIGATIONS = {"FairSMOTE": "fairsmote", "Reweighing": "reweighing", "DIR": "dir
 RUN_ERRORS = (ArithmeticError, ValueError)
 
 
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-
-
 def static_baselines(
     samples: dict[tuple[str, str], tuple[DataFrame, Roles]], models: list[str]
 ) -> DataFrame:
