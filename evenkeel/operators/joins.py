@@ -42,6 +42,12 @@ def attach(
     ``weight`` is the column of ``groups`` that counts the group's rows. A large group
     table stays cached, since it is read several times.
     """
+    if not keys:  # one group holds all rows
+        one = {"__one": F.lit(0)}
+        joined = attach(
+            rows.withColumns(one), groups.withColumns(one), ["__one"], weight, spread, how
+        )
+        return joined.drop("__one")
     spark = rows.sparkSession
     groups = groups.persist(StorageLevel.MEMORY_AND_DISK)
     known = groups.limit(BROADCAST_ROWS + 1).collect()

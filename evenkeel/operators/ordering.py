@@ -7,6 +7,9 @@ one row per cell), and only the inside of a cell is ever sorted.
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,10 +17,11 @@ from evenkeel.functions.hashing import hash32
 from evenkeel.functions.ratios import INF
 from evenkeel.operators.joins import attach, keyed_join
 
-#: Low bits of the 32-bit hash kept inside a cell: 2**16 cells per group.
-CELL_BITS = 16
-#: Value-range cells per table.
-VALUE_CELLS = 1_024
+#: Low bits of the 32-bit hash kept inside a cell: 2**14 hash cells per group.
+CELL_BITS = 18
+#: Rows aimed at per value cell, and the most value cells per table.
+CELL_ROWS = 100_000
+MAX_CELLS = 4_096
 
 
 def _before(keys: list[str], order: str, measure: str) -> Column:
@@ -94,40 +98,45 @@ def take_per_group(
 # -------------------------------------------------------------------------- value order
 
 
-def value_cells(rows: DataFrame, value: str, cells: int = VALUE_CELLS) -> Column:
-    """Order-preserving cell number of ``value``, from approximate quantiles of ``rows``.
+def value_cells(rows: DataFrame, value: str) -> list[float]:
+    """Bounds that cut the values of ``rows`` into cells of about ``CELL_ROWS`` rows.
 
-    The bounds only balance the work; any bounds give the same results.
+    They are approximate quantiles and only balance the work; any bounds give the same
+    results. Heavily repeated values yield one bound.
     """
-    probs = [i / cells for i in range(1, cells)]
+    probs = ",".join(str(i / MAX_CELLS) for i in range(1, MAX_CELLS))
     found = rows.agg(
-        F.coalesce(
-            F.array_distinct(
-                F.percentile_approx(F.col(value).cast("double"), probs, 4 * cells)
-            ),
-            F.array().cast("array<double>"),
-        ).alias("b")
-    )
-    text = ",".join(repr(b) for b in found.first()["b"])
-    bounds = F.split(F.lit(text), ",").cast("array<double>") if text else F.array(F.lit(INF))
-    steps = [1 << i for i in reversed(range(cells.bit_length()))]
-    # binary search: number of bounds not above the value
-    return F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
-        lambda acc, s: acc
-        + F.when(F.get(bounds, acc + s - 1) <= F.col(value).cast("double"), s).otherwise(0),
-    )
+        F.count(value).alias("n"),
+        F.percentile_approx(
+            F.col(value).cast("double"), F.split(F.lit(probs), ",").cast("array<double>"), 2 * MAX_CELLS
+        ).alias("b"),
+    ).first()
+    wanted = min(MAX_CELLS, -(-found["n"] // CELL_ROWS))
+    if wanted <= 1:
+        return []
+    step = max(1, MAX_CELLS // wanted)
+    return sorted({b + 0.0 for b in found["b"][step - 1 :: step] if math.isfinite(b)})
+
+
+def with_cell(df: DataFrame, value: str, bounds: list[float]) -> DataFrame:
+    """Add ``__cell``, the order-preserving cell number of ``value``."""
+    if not bounds:
+        return df.withColumn("__cell", F.lit(0.0))
+    splits = [-INF, *bounds, INF]
+    numbered = Bucketizer(
+        splits=splits, inputCol="__num", outputCol="__cell", handleInvalid="keep"
+    ).transform(df.withColumn("__num", F.col(value).cast("double")))
+    return numbered.drop("__num")
 
 
 def prefix_sums(
-    counts: DataFrame, keys: list[str], value: str, measures: list[str], cell: Column
+    counts: DataFrame, keys: list[str], value: str, measures: list[str], bounds: list[float]
 ) -> DataFrame:
     """Add ``before_<m>`` and ``total_<m>``: sums over smaller values, and over the group.
 
-    ``counts`` has one row per (keys, value); ``cell`` comes from :func:`value_cells`.
+    ``counts`` has one row per (keys, value); ``bounds`` come from :func:`value_cells`.
     """
-    rows = counts.withColumn("__cell", cell)
+    rows = with_cell(counts, value, bounds)
     every = Window.partitionBy(*keys)
     sums = rows.groupBy(*keys, "__cell").agg(*[F.sum(m).alias(m) for m in measures])
     offsets = sums.select(
@@ -148,13 +157,13 @@ def prefix_sums(
 
 
 def running_max(
-    rows: DataFrame, keys: list[str], value: str, measure: str, cell: Column, out: str
+    rows: DataFrame, keys: list[str], value: str, measure: str, bounds: list[float], out: str
 ) -> DataFrame:
     """Add the largest ``measure`` over values up to and including the row's own.
 
     ``rows`` has one row per (keys, value).
     """
-    marked = rows.withColumn("__cell", cell)
+    marked = with_cell(rows, value, bounds)
     upto = Window.partitionBy(*keys, "__cell").orderBy(value).rowsBetween(
         Window.unboundedPreceding, 0
     )
@@ -188,7 +197,7 @@ def exact_quantiles(
     data = rows.filter(F.col(value).isNotNull())
     repeats = F.sum(weight) if weight else F.count("*")
     counts = data.groupBy(*keys, value).agg(repeats.alias("__n"))
-    cell_rows = counts.withColumn("__cell", value_cells(data, value))
+    cell_rows = with_cell(counts, value, value_cells(data, value))
     every = Window.partitionBy(*keys)
     offsets = (
         cell_rows.groupBy(*keys, "__cell")

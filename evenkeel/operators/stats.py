@@ -289,10 +289,10 @@ def holm_adjust(table: DataFrame, family: list[str], p: str, row_id: Column, out
     family_key = family or ["__family"]
     base = table if family else table.withColumn("__family", F.lit(0))
     counts = base.groupBy(*family_key, p).agg(F.count("*").alias("n"))
-    cell = value_cells(base, p)
-    placed = prefix_sums(counts, family_key, p, ["n"], cell)
+    bounds = value_cells(base, p)
+    placed = prefix_sums(counts, family_key, p, ["n"], bounds)
     raised = placed.withColumn("__raw", (F.col("total_n") - F.col("before_n")) * F.col(p))
-    stepped = running_max(raised, family_key, p, "__raw", cell, "__adj").select(
+    stepped = running_max(raised, family_key, p, "__raw", bounds, "__adj").select(
         *family_key, p, F.col("n").alias("__n"), F.least(F.col("__adj"), F.lit(1.0)).alias(out)
     )
     return attach(base, stepped, [*family_key, p], "__n", row_id).select(*table.columns, out)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.classification import (
     GBTClassifier,
     LinearSVC,
@@ -14,7 +16,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,6 +85,12 @@ def assemble(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(plain), outputCol="features").transform(ready).drop(*plain)
 
 
+def run_folds(spark: SparkSession, step: Callable[[int], DataFrame | None], k: int) -> list:
+    """Run the k independent fold jobs side by side, as pyspark.ml does for its own folds."""
+    with ThreadPool(k) as pool:
+        return pool.map(inheritable_thread_target(spark)(step), range(k))
+
+
 def fit_predict(
     train: DataFrame, test: DataFrame, model: str, weight: str | None = None
 ) -> DataFrame | None:
@@ -109,13 +117,13 @@ def fit_predict(
 def cross_predict(folded: DataFrame, model: str, k: int = FOLDS) -> DataFrame | None:
     """Out-of-fold predictions for a table with ``fold``, ``y`` and ``features``."""
     rows = folded.persist(StorageLevel.MEMORY_AND_DISK)
-    parts = []
-    for fold in range(k):
-        part = fit_predict(
-            rows.filter(F.col("fold") != fold), rows.filter(F.col("fold") == fold), model
-        )
-        if part is not None:
-            parts.append(part.drop("features"))
+
+    def step(fold: int) -> DataFrame | None:
+        test = rows.filter(F.col("fold") == fold)
+        part = fit_predict(rows.filter(F.col("fold") != fold), test, model)
+        return None if part is None else part.drop("features")
+
+    parts = [p for p in run_folds(folded.sparkSession, step, k) if p is not None]
     if not parts:
         return None
     done = cut_lineage(union_all(parts))
@@ -192,22 +200,24 @@ def baseline_predictions(df: DataFrame, method: str, model: str, roles: Roles) -
     numbers = booleans_to_numbers(df)
     folded = cut_lineage(stratified_kfold(numbers, roles.target, roles.row_id))
     features = feature_columns(folded, roles.row_id, roles.target, roles.protected, "fold")
-    base = folded.schema
-    parts = []
-    for fold in range(FOLDS):
+    names = folded.columns
+
+    def step(fold: int) -> DataFrame:
         train = folded.filter(F.col("fold") != fold).drop("fold")
-        test = folded.filter(F.col("fold") == fold)
         changed, weight = mitigate(train, method, roles)
         ready = assemble(changed.withColumn("y", F.col(roles.target).cast("int")), features)
         kept = ready.select("y", "features", *([weight] if weight else [])).persist(
             StorageLevel.MEMORY_AND_DISK
         )
+        test = folded.filter(F.col("fold") == fold)
         target = assemble(test.withColumn("y", F.col(roles.target).cast("int")), features)
         part = fit_predict(kept, target, model, weight)
         kept.unpersist()
         if part is None:
             raise ValueError("a training part holds a single class")
-        parts.append(part.select(*base.fieldNames(), "y", "raw"))
+        return part.select(*names, "y", "raw")
+
+    parts = run_folds(df.sparkSession, step, FOLDS)
     union = union_all(parts)
     if model in PROBABILISTIC:
         scored = union.withColumn("score", F.col("raw"))
