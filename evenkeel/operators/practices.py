@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from evenkeel.functions.hashing import hash32
@@ -27,11 +27,6 @@ SEED_SHUFFLE = 42
 DRAWS_PER_COPY = 10_000
 
 
-def _need(df: DataFrame, column: str) -> None:
-    if column not in df.columns:
-        raise ValueError(f"protected column {column!r} not in table")
-
-
 # ---------------------------------------------------------------------------- scaling
 
 
@@ -83,14 +78,27 @@ def group_counts(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"))
 
 
-def _reject_null_groups(df: DataFrame, column: str) -> None:
-    _need(df, column)
-    if df.filter(F.col(column).isNull()).limit(1).count():
+def group_sizes(df: DataFrame, column: str) -> Row:
+    """Smallest and largest group, all rows, and NULL groups (not allowed), in one pass."""
+    if column not in df.columns:
+        raise ValueError(f"protected column {column!r} not in table")
+    sizes = (
+        group_counts(df, [column])
+        .agg(
+            F.min("n").alias("smallest"),
+            F.max("n").alias("largest"),
+            F.sum("n").alias("total"),
+            F.count_if(F.col(column).isNull()).alias("nulls"),
+        )
+        .first()
+    )
+    if sizes["nulls"]:
         raise ValueError(f"protected column {column!r} contains NULL")
+    return sizes
 
 
 def _equal_groups(df: DataFrame, roles: Roles, seed: int) -> DataFrame:
-    smallest = group_counts(df, [roles.protected]).agg(F.min("n").alias("n")).first()["n"]
+    smallest = group_sizes(df, roles.protected)["smallest"]
     return take_per_group(df, [roles.protected], roles.row_id, smallest or 0, seed)
 
 
@@ -103,7 +111,6 @@ def stratified_sampling(df: DataFrame, roles: Roles, seed: int = SEED_STRATIFIED
 
 def undersampling(df: DataFrame, roles: Roles, seed: int = SEED_RESAMPLE) -> DataFrame:
     """Like stratified sampling, but a missing column or a NULL group is an error."""
-    _reject_null_groups(df, roles.protected)
     return _equal_groups(df, roles, seed)
 
 
@@ -141,10 +148,8 @@ def draw_with_replacement(
 
 def oversampling(df: DataFrame, roles: Roles, seed: int = SEED_RESAMPLE) -> DataFrame:
     """Every protected group drawn anew, with replacement, to the size of the largest."""
-    _reject_null_groups(df, roles.protected)
-    counts = group_counts(df, [roles.protected])
-    largest = counts.agg(F.max("n").alias("n")).first()["n"] or 0
-    draws = counts.withColumn("n_draws", F.lit(largest).cast("bigint"))
+    largest = group_sizes(df, roles.protected)["largest"] or 0
+    draws = group_counts(df, [roles.protected]).withColumn("n_draws", F.lit(largest).cast("bigint"))
     return draw_with_replacement(df, [roles.protected], roles.row_id, draws, seed)
 
 
@@ -153,10 +158,8 @@ def oversampling(df: DataFrame, roles: Roles, seed: int = SEED_RESAMPLE) -> Data
 
 def ipw(df: DataFrame, roles: Roles, out: str = "Weight") -> DataFrame:
     """Append the inverse share of the row's protected group as a feature."""
-    _reject_null_groups(df, roles.protected)
-    counts = group_counts(df, [roles.protected])
-    total = df.count()
-    weights = counts.select(
+    total = group_sizes(df, roles.protected)["total"] or 0
+    weights = group_counts(df, [roles.protected]).select(
         roles.protected, "n", (F.lit(float(total)) / F.col("n")).alias(out)
     )
     return attach(df, weights, [roles.protected], "n", F.col(roles.row_id)).select(
