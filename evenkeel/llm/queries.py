@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evenkeel.llm import bpe, decontaminate, pii, quality, shard, warc
+from evenkeel.llm import bpe, decontaminate, html_blocks, pii, quality, shard, token_files, warc
 from evenkeel.llm.shared import table
 
 RANKS, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
@@ -21,6 +21,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_round_trip(spark, table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
@@ -38,12 +42,18 @@ def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_pii": op2_pii,
+    "op3_token_files": op3_token_files,
     "op4_quality": op4_quality,
     "op5_decontaminate": op5_decontaminate,
     "op7_bpe": op7_bpe,
     "op8_shard": op8_shard,
+    "op10_html": op10_html,
 }
 SQL: dict[str, str] = {"op1_warc": warc.SQL, "op4_quality": quality.SQL}
