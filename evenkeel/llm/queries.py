@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evenkeel.llm import bpe, decontaminate, html_blocks, pii, quality, shard, token_files, warc
+from evenkeel.llm import bpe, chosen_path, decontaminate, html_blocks, pii, quality, shard, token_files, warc
 from evenkeel.llm.shared import table
 
 RANKS, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
@@ -33,6 +33,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode_documents(docs, public_tokenizers.path(RANKS))
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op4_quality": op4_quality,
     "op5_decontaminate": op5_decontaminate,
+    "op6_chosen_path": op6_chosen_path,
     "op7_bpe": op7_bpe,
     "op8_shard": op8_shard,
     "op10_html": op10_html,
