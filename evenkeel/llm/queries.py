@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evenkeel.llm import bpe, chosen_path, decontaminate, html_blocks, pii, quality, shard, token_files, warc
+from evenkeel.llm import bpe, chosen_path, decontaminate, html_blocks, pii, quality, shard, suffix, token_files, warc
 from evenkeel.llm.shared import table
 
 RANKS, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
@@ -46,6 +46,10 @@ def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract_pages(table(spark, sf_dir, "pages"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_chosen_path": op6_chosen_path,
     "op7_bpe": op7_bpe,
     "op8_shard": op8_shard,
+    "op9_suffix": op9_suffix,
     "op10_html": op10_html,
 }
 SQL: dict[str, str] = {"op1_warc": warc.SQL, "op4_quality": quality.SQL}
