@@ -107,14 +107,14 @@ def cascade(rules: Sequence[Rule], named: Mapping[str, Column]) -> Column:
 def filter_documents(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """The documents that no rule rejects, with the columns they came with.
 
-    The words are taken once; each other measure is computed only when the cascade reaches its rule. Null and empty
-    texts have no words and are rejected by ``few_words``. Raises ``ValueError`` on a column named ``__words``.
+    The words are taken once; each other measure is computed only when the cascade reaches its rule. The verdict is one
+    expression, so that a filter moved towards the scan does not take the words again. Null and empty texts have no
+    words and are rejected by ``few_words``.
     """
-    if "__words" in docs.columns:
-        raise ValueError("column __words clashes with the operator's own")
     ordered = order_rules(docs, rules)
-    with_words = docs.withColumn("__words", words_of(docs["text"]))
-    return with_words.where(cascade(ordered, measures(F.col("text"), F.col("__words"))).isNull()).drop("__words")
+    text = docs["text"]
+    verdict = let(words_of(text), lambda words: F.coalesce(cascade(ordered, measures(text, words)), F.lit("")))
+    return docs.where(verdict == "")
 
 
 def quality_report(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
