@@ -139,9 +139,11 @@ WITH w AS (
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
   FROM documents
 ), g AS (
-  SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, ws FROM w WHERE len(ws) >= 3
+  SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i,
+    unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS window3
+  FROM w WHERE len(ws) >= 3
 ), k AS (
-  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) AS c FROM g
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, window3) AS c FROM g
 ), p AS (
   SELECT doc_id, count(DISTINCT i + j) AS n FROM (SELECT doc_id, i, unnest([0, 1, 2]) AS j FROM k WHERE c > 1) GROUP BY doc_id
 ), m AS (
