@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from evenkeel.bindings.check import r6
-from evenkeel.bindings.views import APPLICANT, APPLICANTS, applicants, h_sql, table
+from evenkeel.bindings.views import APPLICANT, APPLICANTS, applicants, h60_sql, h_sql, table
 from evenkeel.operators import mitigation
 
 
@@ -91,7 +91,7 @@ d as (select target, sex, n, unnest(range(0, m - n)) as i from sizes),
 r as (select *, row_number() over (partition by target, sex order by {h_sql('42:rank', 'row_id')}, row_id) as rank_ from applicants)
 select row_id::varchar as row_id, amount, target, sex from applicants union all
 select r.row_id || '#' || i, amount, r.target, r.sex from d join r
-  on r.target = d.target and r.sex = d.sex and rank_ = 1 + {h_sql(42, 'd.target', 'd.sex', 'd.i')} % n""",
+  on r.target = d.target and r.sex = d.sex and rank_ = 1 + {h60_sql(42, 'd.target', 'd.sex', 'd.i')} % n""",
     "binarize_mode": f"""with {APPLICANTS}, top as (select segment as t from applicants group by segment order by count(*) desc, segment limit 1)
 select row_id, segment, age, (segment = t)::int as s_segment, (age > avg(age) over ())::int as s_age from applicants, top""",
     "reweigh": f"""with {APPLICANTS}

@@ -11,6 +11,7 @@ from evenkeel.bindings.views import (
     GAPPY,
     applicants,
     gappy,
+    h60_sql,
     h_sql,
     table,
 )
@@ -84,11 +85,11 @@ def kmeans_assign(spark, d):
 
 
 def kmeans_step(spark, d):
-    """Means of the first eight embedding dimensions around two given centres."""
+    """Means of the 64 embedding dimensions around two given centres."""
     e = table(spark, d, "embeddings")
-    cols = [f"e{i}" for i in range(8)]
+    cols = [f"e{i}" for i in range(64)]
     rows = e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)])
-    step = practices.centroid_step(rows, cols, [[0.05] * 8, [-0.05] * 8])
+    step = practices.centroid_step(rows, cols, [[0.05] * 64, [-0.05] * 64])
     return step.select("Cluster", "n", *[r6(c) for c in cols])
 
 
@@ -157,7 +158,7 @@ def draw_sql(source: str, group: str, cols: str, seed: int, n_draws: str = "max(
     select {group}, n, unnest(range(0, (m - {low})::bigint)) as i from (
       select {group}, count(*) as n, max(count(*)) over () as m from {source} group by {group})) d
   join (select *, row_number() over (partition by {group} order by {h_sql(f'{seed}:rank', 'row_id')}, row_id) as rank_ from {source}) r
-    on r.{group} = d.{group} and r.rank_ = 1 + {h_sql(seed, 'd.' + group, 'd.i')} % d.n)"""
+    on r.{group} = d.{group} and r.rank_ = 1 + {h60_sql(seed, 'd.' + group, 'd.i')} % d.n)"""
 
 
 _SMALL = "a as (select row_id, amount, age, sex, target from applicants)"
@@ -177,13 +178,13 @@ select * from {sample_sql('g', 'segment', 42)}""",
   case when pow(l_quantity - 10.0, 2) + pow(l_extendedprice - 20000.0, 2) <= pow(l_quantity - 40.0, 2) + pow(l_extendedprice - 60000.0, 2)
   then 0 else 1 end as "Cluster" from lineitem""",
     "kmeans_step": "with e as (select vec_id, "
-    + ", ".join(f"embedding[{i + 1}]::double as e{i}" for i in range(8))
+    + ", ".join(f"embedding[{i + 1}]::double as e{i}" for i in range(64))
     + " from embeddings), a as (select *, case when "
-    + " + ".join(f"pow(e{i} - 0.05, 2)" for i in range(8))
+    + " + ".join(f"pow(e{i} - 0.05, 2)" for i in range(64))
     + " <= "
-    + " + ".join(f"pow(e{i} + 0.05, 2)" for i in range(8))
+    + " + ".join(f"pow(e{i} + 0.05, 2)" for i in range(64))
     + ' then 0 else 1 end as "Cluster" from e) select "Cluster", count(*) as n, '
-    + ", ".join(f"round(avg(e{i}), 6) as e{i}" for i in range(8))
+    + ", ".join(f"round(avg(e{i}), 6) as e{i}" for i in range(64))
     + ' from a group by "Cluster"',
     "ipw_weight": f"""with {APPLICANTS}
 select row_id, nation, round(count(*) over () / (count(*) over (partition by nation))::double, 6) as "Weight" from applicants""",

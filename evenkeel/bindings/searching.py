@@ -12,13 +12,14 @@ from evenkeel.bindings.views import (
     h_sql,
     search_runs,
     stored_text,
+    table,
     u_sql,
 )
 from evenkeel.functions.arrays import crossover, mutate
 from evenkeel.functions.hashing import hash32, uniform
 from evenkeel.operators import search
-from evenkeel.plans.grid import run_grid
-from evenkeel.roles import TECHNIQUES
+from evenkeel.plans.grid import EVALUATED, run_grid, sample_evaluator
+from evenkeel.roles import TECHNIQUES, Roles
 from evenkeel.sources import scores
 
 
@@ -113,11 +114,36 @@ def run_grid_table(spark, d):
     )
 
 
+def run_grid_evaluated(spark, d):
+    """A search that trains: suppliers' balances by nation, an empty store, and one attribute that does not exist."""
+    s = table(spark, d, "supplier").select(
+        F.col("s_suppkey").alias("row_id"), F.col("s_acctbal").alias("balance"), F.col("s_nationkey").alias("nation"),
+        (F.col("s_nationkey") % 2).alias("sex"), (F.col("s_suppkey") % 60).alias("age"),
+        (F.col("s_acctbal") + F.col("s_nationkey") % 2 * 2000 > 5000).cast("int").alias("target"),
+    )
+    samples = {("suppliers", a): (s, Roles("row_id", "target", a)) for a in ("sex", "missing")}
+    nation = table(spark, d, "nation").where("n_regionkey = 0").select(
+        F.col("n_nationkey").alias("run_id"), F.lit("suppliers").alias("dataset"), F.lit("lr").alias("model"),
+        F.when(F.col("n_nationkey") % 4 == 0, "missing").otherwise("sex").alias("protected_attribute"),
+        F.lit("target").alias("target_column"), F.lit(2).alias("population_size"), F.lit(1).alias("generations"),
+        F.lit(0.5).alias("alpha"), F.lit(0.5).alias("beta"), F.lit(0.7).alias("perf_weight"), F.lit(0.3).alias("fair_weight"),
+    )
+    empty = spark.createDataFrame([], EVALUATED).drop("error")
+    rows = run_grid(nation, empty, evaluate=sample_evaluator(samples))
+    bad = F.col("error").isNotNull()
+    return rows.groupBy("dataset", "model_identifier", "protected_attribute").agg(
+        F.count("*").alias("n_runs"), F.count_if(bad).alias("n_error"),
+        F.count_if(~bad & F.col("fitness").isNull()).alias("n_unscored"),
+        F.count_if(F.col("elapsed_seconds") > 0).alias("n_timed"),
+        F.count_if(bad & (F.col("fitness").isNotNull() | F.col("techniques").isNotNull())).alias("n_error_with_metrics"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         ga_init, ga_score, ga_select, ga_crossover, ga_dedup, ga_mutate, ga_generation, ga_search,
-        run_grid_table,
+        run_grid_table, run_grid_evaluated,
     )
 }
 
@@ -211,4 +237,8 @@ from requests q left join loaded s on {MATCH.format('s')} group by all""",
 best as (select * from last qualify row_number() over (partition by run_id order by coalesce(fitness, '-inf'::double) desc, slot) = 1)
 select model as model_identifier, protected_attribute, count(*) as n_runs, count(*) filter (fitness > '-inf'::double) as n_feasible,
   0::bigint as n_error from best group by all""",
+    "run_grid_evaluated": """select 'suppliers' as dataset, 'lr' as model_identifier,
+  case when n_nationkey % 4 = 0 then 'missing' else 'sex' end as protected_attribute, count(*) as n_runs,
+  count(*) filter (n_nationkey % 4 = 0) as n_error, 0::bigint as n_unscored, count(*) as n_timed, 0::bigint as n_error_with_metrics
+  from nation where n_regionkey = 0 group by all""",
 }

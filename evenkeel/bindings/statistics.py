@@ -11,6 +11,7 @@ from evenkeel.bindings.views import (
     METHODS,
     PAIR_KEYS,
     TREATMENT,
+    h60_sql,
     h_sql,
     methods,
     table,
@@ -82,8 +83,8 @@ def mgg_symmetry_events(spark, d):
 
 
 def symmetry_bootstrap(spark, d):
-    """Two thousand replicates per hypothesis."""
-    t = stats.symmetry_test(_diffs(_pairs(spark, d), *PAIR_KEYS), HYPOTHESIS, "pair", replicates=2000)
+    """Ten thousand replicates per hypothesis."""
+    t = stats.symmetry_test(_diffs(_pairs(spark, d), *PAIR_KEYS), HYPOTHESIS, "pair", replicates=10_000)
     return t.select(*HYPOTHESIS, r6("symmetry_stat"), "n_beyond", r6("symmetry_p"))
 
 
@@ -109,7 +110,7 @@ def holm_adjust(spark, d):
 
 def _compared(spark, d):
     return stats.compare_methods(
-        methods(spark, d), PAIR_KEYS, "method", TREATMENT, METHODS, DIRECTIONS, replicates=1000
+        methods(spark, d), PAIR_KEYS, "method", TREATMENT, METHODS, DIRECTIONS, replicates=10_000
     )
 
 
@@ -182,7 +183,7 @@ def _bootstrap(replicates: int) -> str:
   select metric, baseline, row_number() over (partition by metric, baseline order by {h_sql(20260930, key)}, {key}) - 1 as rk, d - median as c, n
   from pairs join obs using (metric, baseline)),
 draws as (
-  select metric, baseline, n, rep, pos, {h_sql(20260930, 'metric', 'baseline', 'rep', 'pos')} % (2 * n) as idx
+  select metric, baseline, n, rep, pos, {h60_sql(20260930, 'metric', 'baseline', 'rep', 'pos')} % (2 * n) as idx
   from obs, (select unnest(range(0, {replicates})) as rep), lateral (select unnest(range(0, n)) as pos)),
 sampled as (
   select w.metric, w.baseline, rep, case when idx < w.n then c else -c end as d
@@ -202,7 +203,7 @@ terms as (select metric, baseline, n_up, n_used, k, lgamma(n_used + 1) - lgamma(
 sg as (select metric, baseline, n_up, n_used, least(1.0, 2 * sum(exp(lt))) as sign_p from terms group by all)"""
 
 
-_COMPARED = f"""{_A12}, {_RANKS}, {_EXACT}, {_MGG}, {_bootstrap(1000)}, {_SIGN},
+_COMPARED = f"""{_A12}, {_RANKS}, {_EXACT}, {_MGG}, {_bootstrap(10_000)}, {_SIGN},
 basics as (select metric, baseline, count(*) as n_pairs, avg(x) as treatment_mean, avg(y) as baseline_mean from pairs group by all),
 compared as (select *, case when metric = 'performance_score' then 'higher' else 'lower' end as direction,
     case when metric = 'performance_score' then a12_raw else 1.0 - a12_raw end as a12_effective
@@ -220,7 +221,7 @@ SQL = {
     "wilcoxon_p_normal": f"with {EVENTS}, {_RANKS}, {_NORMAL} select metric, baseline, n_used, round(p_value, 6) as p_value from wn",
     "mgg_symmetry": f"with {METHOD_ROWS}, {_MGG} select metric, baseline, n, round(symmetry_stat, 6) as symmetry_stat from obs",
     "mgg_symmetry_events": f"with {EVENTS}, {_MGG} select metric, baseline, n, round(symmetry_stat, 6) as symmetry_stat from obs",
-    "symmetry_bootstrap": f"""with {METHOD_ROWS}, {_MGG}, {_bootstrap(2000)}
+    "symmetry_bootstrap": f"""with {METHOD_ROWS}, {_MGG}, {_bootstrap(10_000)}
 select metric, baseline, round(symmetry_stat, 6) as symmetry_stat, n_beyond, round(symmetry_p, 6) as symmetry_p from bootp""",
     "sign_test": f"with {METHOD_ROWS}, {_SIGN} select metric, baseline, n_up, n_used, round(sign_p, 9) as sign_p from sg",
     "sign_test_events": f"with {EVENTS}, {_SIGN} select metric, baseline, n_up, n_used, round(sign_p, 6) as sign_p from sg",

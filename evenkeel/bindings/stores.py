@@ -20,7 +20,7 @@ KEYS = ["dataset", "model", "protected_attribute", "target_column"]
 
 def _text(df):
     """Stored scores as comparable columns: lists as text, infeasible as a flag."""
-    return df.withColumns(
+    return df.drop(*scores.WEIGHTS).withColumns(
         {
             "techniques": F.concat_ws(",", "techniques"),
             "infeasible": F.coalesce(F.col("fitness") == float("-inf"), F.lit(False)),

@@ -23,6 +23,11 @@ def h_sql(seed: str | int, *parts: str) -> str:
     return f"(('0x' || substr(md5('{seed}'{text}), 1, 8))::bigint)"
 
 
+def h60_sql(seed: str | int, *parts: str) -> str:
+    """SQL text of :func:`hash60`."""
+    return h_sql(seed, *parts).replace(", 1, 8)", ", 1, 15)")
+
+
 def u_sql(seed: str | int, *parts: str) -> str:
     return f"({h_sql(seed, *parts)} / 4294967296.0::double)"
 

@@ -190,10 +190,15 @@ def prepare_model(
     binarize: bool = True,
     mode: str = "sorted",
 ) -> DataFrame:
-    """Clean, binarise the label, encode text and impute: a numeric, model-ready table."""
+    """Clean, binarise the label, encode text and impute: a numeric, model-ready table.
+
+    A text label of more than two values cannot be learnt and raises ``ValueError``.
+    """
     ready = minimal_clean(df, target)
     if binarize:
         ready = binarize_target(ready, target, row_id, mode=mode)
+        if ready.schema[target].dataType.typeName() == "string" and ready.select(target).distinct().limit(3).count() > 2:
+            raise ValueError(f"label {target!r} is text of more than two values")
     return encode_and_impute(ready, row_id, protected)
 
 

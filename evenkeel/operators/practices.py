@@ -13,7 +13,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from evenkeel.functions.hashing import hash32
+from evenkeel.functions.hashing import hash32, hash60
 from evenkeel.operators.joins import attach, explode_range, keyed_join
 from evenkeel.operators.lineage import cut_lineage
 from evenkeel.operators.ordering import hash_rank, take_per_group
@@ -131,7 +131,7 @@ def draw_with_replacement(
     wanted = wanted.select(
         *keys,
         "__i",
-        (1 + F.pmod(hash32(seed, *keys, "__i"), F.col("n"))).alias("__rank"),
+        (1 + F.pmod(hash60(seed, *keys, "__i"), F.col("n"))).alias("__rank"),
         F.pmod(F.col("__i"), F.col("__copies")).alias("__copy"),
     )
     sizes = draws.filter("n > 0 and n_draws > 0").select(*keys, "n", copies.alias("__copies"))
@@ -170,7 +170,12 @@ def ipw(df: DataFrame, roles: Roles, out: str = "Weight") -> DataFrame:
 def clustering(
     df: DataFrame, roles: Roles, n_clusters: int = 2, seed: int = 42, out: str = "Cluster"
 ) -> DataFrame:
-    """Append the k-means cluster over all numeric columns, target and protected included."""
+    """Append the k-means cluster over all numeric columns, target and protected included.
+
+    A table without rows gets the column and nothing else.
+    """
+    if df.isEmpty():
+        return df.withColumn(out, F.lit(None).cast("int"))
     cols = numeric_columns(df, roles.row_id)
     features = VectorAssembler(inputCols=cols, outputCol="__features", handleInvalid="error")
     model = KMeans(

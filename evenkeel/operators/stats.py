@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.functions.hashing import hash32
+from evenkeel.functions.hashing import hash60
 from evenkeel.operators.joins import attach, explode_range, keyed_join
 from evenkeel.operators.lineage import cut_lineage
 from evenkeel.operators.ordering import (
@@ -259,7 +259,7 @@ def symmetry_test(
         {"rep": F.floor(F.col("__i") / F.col("n")), "pos": F.pmod(F.col("__i"), F.col("n"))}
     )
     indexed = draws.select(
-        *keys, "rep", F.pmod(hash32(seed, *keys, "rep", "pos"), 2 * F.col("n")).alias("idx"), "__i"
+        *keys, "rep", F.pmod(hash60(seed, *keys, "rep", "pos"), 2 * F.col("n")).alias("idx"), "__i"
     )
     sample = attach(indexed, pool, [*keys, "idx"], "w", F.col("__i")).select(*keys, "rep", "d")
     drawn = cut_lineage(difference_counts(sample, [*keys, "rep"]))

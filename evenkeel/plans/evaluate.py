@@ -57,7 +57,7 @@ def build_classifier(model: str, n_rows: float, weight: str | None = None):
     if model == "rf":
         return RandomForestClassifier(numTrees=100, maxDepth=12, seed=SEED, **common)
     if model == "svc":
-        return LinearSVC(maxIter=100, tol=1e-4, regParam=penalty, **common)
+        return LinearSVC(maxIter=10_000, tol=1e-4, regParam=penalty, **common)
     if model == "xgb":
         return GBTClassifier(maxIter=100, maxDepth=6, stepSize=0.3, seed=SEED, **common)
     raise ValueError(f"unknown model identifier: {model}")

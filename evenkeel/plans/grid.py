@@ -2,21 +2,50 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evenkeel.functions.ratios import is_finite
+from evenkeel.operators.joins import keyed_join
+from evenkeel.operators.lineage import cut_lineage
+from evenkeel.operators.metrics import combined_fitness, fairness, performance
 from evenkeel.operators.search import genetic_search
-from evenkeel.plans.evaluate import evaluate_baseline, evaluate_practices, union_all
-from evenkeel.roles import TECHNIQUES, Roles
+from evenkeel.plans.evaluate import evaluate_baseline, evaluate_practices, search_predictions, union_all
+from evenkeel.roles import INFEASIBLE, TECHNIQUES, Roles
 from evenkeel.sources.results import result_rows
-from evenkeel.sources.scores import SCORE_KEYS, score_lookup, score_misses
+from evenkeel.sources.scores import SCORE_KEYS, append_scores, score_lookup, score_misses, with_weights
 
 # Display label and name of the mitigation methods.
 MITIGATIONS = {"FairSMOTE": "fairsmote", "Reweighing": "reweighing", "DIR": "dir"}
 
-#: Failures that become error rows; anything else stops the job.
-RUN_ERRORS = (ArithmeticError, ValueError)
+#: Failures of one run that become its error row; anything else stops the job.
+RUN_ERRORS = (ArithmeticError, ValueError, KeyError, OSError, AnalysisException)
+
+#: Practice lists that are evaluated side by side.
+SIDE_BY_SIDE = 2
+
+EVALUATED = T.StructType(
+    [
+        T.StructField("dataset", T.StringType()),
+        T.StructField("model", T.StringType()),
+        T.StructField("protected_attribute", T.StringType()),
+        T.StructField("target_column", T.StringType()),
+        T.StructField("techniques", T.ArrayType(T.StringType())),
+        T.StructField("perf_weight", T.DoubleType()),
+        T.StructField("fair_weight", T.DoubleType()),
+        T.StructField("fitness", T.DoubleType()),
+        T.StructField("fairness", T.DoubleType()),
+        T.StructField("performance", T.DoubleType()),
+        T.StructField("error", T.StringType()),
+    ]
+)
 
 
 def static_baselines(
@@ -43,31 +72,107 @@ def static_baselines(
     return union_all(parts)
 
 
-def run_grid(runs: DataFrame, runtime: DataFrame, archive: DataFrame | None = None) -> DataFrame:
-    """Search every run of a grid against stored scores; one result row per run.
+def sample_evaluator(
+    samples: dict[tuple[str, str], tuple[DataFrame, Roles]]
+) -> Callable[[DataFrame], DataFrame]:
+    """Evaluates distinct practice lists on the sample of their (dataset, attribute).
 
-    Practice lists without a stored score count as infeasible; evaluate them beforehand
-    with :func:`missing_scores` and :func:`evaluate_practices`.
+    Lists are trained a few side by side, and all their predictions are scored in one pass. The lists of one call are
+    distinct orders of the practices, so their number is bounded by the catalogue and not by data. A list that fails
+    counts as infeasible and carries ``type: message``.
     """
 
+    def evaluate(missing: DataFrame) -> DataFrame:
+        spark = missing.sparkSession
+        todo = missing.select(*SCORE_KEYS).collect()
+
+        def predict(i: int) -> tuple[DataFrame | None, str | None]:
+            row = todo[i]
+            try:
+                df, roles = samples[row["dataset"], row["protected_attribute"]]
+                return search_predictions(df, list(row["techniques"]), row["model"], roles), None
+            except RUN_ERRORS as e:
+                return None, f"{type(e).__name__}: {str(e).splitlines()[0]}"
+
+        with ThreadPool(SIDE_BY_SIDE) as pool:
+            done = pool.map(inheritable_thread_target(spark)(predict), range(len(todo)))
+        known: dict[int, tuple] = {}
+        for weights in {(r["perf_weight"], r["fair_weight"]) for r in todo}:
+            parts = [
+                preds.withColumn("run", F.lit(i))
+                for i, (preds, _) in enumerate(done)
+                if preds is not None and (todo[i]["perf_weight"], todo[i]["fair_weight"]) == weights
+            ]
+            if parts:
+                every = union_all(parts)
+                keys = ["run", "fold"]
+                folds = keyed_join(performance(every, keys), fairness(every, keys), keys)
+                for r in combined_fitness(folds, ["run"], *weights).collect():  # one row a list
+                    known[r["run"]] = (r["fitness"], r["fairness_score"], r["performance_score"])
+        rows = [
+            (*row, *known.get(i, (INFEASIBLE, None, None)), done[i][1]) for i, row in enumerate(todo)
+        ]
+        return spark.createDataFrame(rows, EVALUATED)
+
+    return evaluate
+
+
+def run_grid(
+    runs: DataFrame,
+    runtime: DataFrame,
+    archive: DataFrame | None = None,
+    evaluate: Callable[[DataFrame], DataFrame] | None = None,
+    store_path: str | None = None,
+) -> DataFrame:
+    """Search every run of a grid; one result row per run.
+
+    In each generation, lists are looked up in the stores; ``evaluate`` then scores each distinct list that no store
+    has once, these scores join the runtime store (and are appended at ``store_path``), and all are looked up again. A
+    run with a list that failed ends as an error row without metrics. ``elapsed_seconds`` is the time until the
+    generation that answers the run was scored. Without ``evaluate``, lists without a stored score are infeasible.
+    """
+    failed: list[DataFrame] = []
+    seconds: list[float] = []
+    start = time.time()
+    store = with_weights(runtime)
+
     def score(population: DataFrame) -> DataFrame:
+        nonlocal store
+        seconds.append(time.time() - start)  # the generation before is done
         keyed = population.withColumn("__row", F.concat_ws(":", "run_id", "slot"))
-        return score_lookup(keyed, runtime, archive, "__row").drop("__row")
-
-    best = genetic_search(runs, score)
+        if evaluate is not None:
+            known = [store] if archive is None else [store, archive]
+            fresh = cut_lineage(evaluate(missing_scores(keyed, known)))
+            bad = fresh.filter("error is not null").select(*SCORE_KEYS, "error")
+            hit = with_weights(population).join(bad, SCORE_KEYS)
+            failed.append(hit.groupBy("run_id").agg(F.min("error").alias("error")))
+            store = store.unionByName(fresh.drop("error"), allowMissingColumns=True)
+            if store_path is not None:
+                append_scores(fresh.drop("error"), store_path)
+        return score_lookup(keyed, store, archive, "__row").drop("__row")
+
+    best = cut_lineage(genetic_search(runs, score))
+    seconds.append(time.time() - start)
+    took = F.element_at(F.array(*[F.lit(x) for x in seconds[1:]]), F.col("generations").cast("int"))
+    if failed:
+        problems = union_all(failed).groupBy("run_id").agg(F.min("error").alias("error"))
+        best = best.join(problems, "run_id", "left")
+    else:
+        best = best.withColumn("error", F.lit(None).cast("string"))
     rows = best.withColumns(
         {
             "model_identifier": F.col("model"),
             "fairness_score": F.col("fairness"),
             "performance_score": F.col("performance"),
             "techniques": F.to_json("techniques"),
+            "elapsed_seconds": took,
         }
     )
-    return result_rows(rows.withColumn("error", F.lit(None).cast("string")))
+    return result_rows(rows)
 
 
 def missing_scores(population: DataFrame, stores: list[DataFrame]) -> DataFrame:
-    """Distinct (dataset, model, attribute, target, practices) still to be evaluated."""
+    """Distinct (dataset, model, attribute, target, practices, weights) still to be evaluated."""
     return score_misses(population, stores, SCORE_KEYS)
 
 

@@ -12,10 +12,18 @@ from pyspark.sql import functions as F
 from evenkeel.operators.joins import attach
 from evenkeel.roles import INFEASIBLE
 
-SCORE_KEYS = ["dataset", "model", "protected_attribute", "target_column", "techniques"]
+WEIGHTS = ["perf_weight", "fair_weight"]
+SCORE_KEYS = ["dataset", "model", "protected_attribute", "target_column", "techniques", *WEIGHTS]
+#: Weight of either part of a score in tables that do not name it.
+EQUAL_WEIGHT = 0.5
 SCORES = ["fitness", "fairness", "performance"]
 
 
+def with_weights(df: DataFrame) -> DataFrame:
+    """``df`` with both weight columns; a table without them was scored with equal weights."""
+    return df.withColumns({w: F.lit(EQUAL_WEIGHT) for w in WEIGHTS if w not in df.columns})
+
+
 def technique_key(col: Column) -> Column:
     """NULL becomes the empty list; order is kept."""
     return F.coalesce(col, F.array().cast("array<string>"))
@@ -59,8 +67,9 @@ def load_scores(raw: DataFrame, order: str, keys: list[str] = SCORE_KEYS) -> Dat
         other = F.lit(INFEASIBLE) if name == "fitness" else F.lit(None).cast("double")
         return F.when(F.isnan(number), other).otherwise(number)
 
-    parsed = raw.withColumns(
-        {"techniques": parse_techniques(F.col("techniques")), **{s: score(s) for s in SCORES}}
+    weights = {w: parse_number(F.col(w).cast("string")) for w in WEIGHTS if w in keys}
+    parsed = with_weights(raw).withColumns(
+        {"techniques": parse_techniques(F.col("techniques")), **{s: score(s) for s in SCORES}, **weights}
     )
     last = F.max_by(F.struct(*SCORES), order)
     return parsed.groupBy(*keys).agg(last.alias("s")).select(*keys, "s.*")
@@ -68,7 +77,7 @@ def load_scores(raw: DataFrame, order: str, keys: list[str] = SCORE_KEYS) -> Dat
 
 def store_rows(scored: DataFrame, timestamp: Column, keys: list[str] = SCORE_KEYS) -> DataFrame:
     """Rows in stored text form: practices as compact JSON, missing scores as ''."""
-    return scored.select(
+    return with_weights(scored).select(
         timestamp.cast("string").alias("timestamp"),
         *[F.col(k) for k in keys if k != "techniques"],
         F.to_json(technique_key(F.col("techniques"))).alias("techniques"),
@@ -85,7 +94,7 @@ def append_scores(scored: DataFrame, path: str) -> None:
 
 
 def _usable(store: DataFrame, keys: list[str], name: str) -> DataFrame:
-    return store.filter(F.col("fitness").isNotNull()).select(
+    return with_weights(store).filter(F.col("fitness").isNotNull()).select(
         *keys, F.struct(*SCORES).alias(name)
     )
 
@@ -94,7 +103,7 @@ def score_misses(
     requests: DataFrame, stores: list[DataFrame], keys: list[str] = SCORE_KEYS
 ) -> DataFrame:
     """Distinct requested keys that no store can answer (a NULL fitness is no answer)."""
-    missing = requests.select(*keys).distinct()
+    missing = with_weights(requests).select(*keys).distinct()
     for i, store in enumerate(stores):
         known = _usable(store, keys, f"__{i}")
         missing = missing.join(known, keys, "left_anti")
@@ -113,6 +122,7 @@ def score_lookup(
     Without ``archive`` (a reset) only the runtime store answers. Each distinct key is
     looked up once, so a list requested by very many rows does not skew the join.
     """
+    asked, requests = requests.columns, with_weights(requests)
     wanted = requests.groupBy(*keys).agg(F.count("*").alias("__n"))
     found = wanted.join(_usable(runtime, keys, "__r"), keys, "left")
     best = F.col("__r")
@@ -120,4 +130,4 @@ def score_lookup(
         found = found.join(_usable(archive, keys, "__a"), keys, "left")
         best = F.coalesce("__r", "__a")
     scored = found.select(*keys, "__n", *[best[s].alias(s) for s in SCORES])
-    return attach(requests, scored, keys, "__n", F.col(spread), "left").drop("__n")
+    return attach(requests, scored, keys, "__n", F.col(spread), "left").select(*asked, *SCORES)

@@ -5,12 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+# The columns of the experiment files, as these name them.
 DIAGNOSIS = T.StructType(
     [
-        T.StructField(n, T.DoubleType() if n == "oldpeak" else T.IntegerType())
-        for n in (
-            "age sex cp trestbps chol fbs restecg thalach exang oldpeak slope ca thal num"
-        ).split()
+        T.StructField("age", T.IntegerType()),
+        T.StructField("sex", T.IntegerType()),
+        T.StructField("cp", T.IntegerType()),
+        T.StructField("trestbps", T.IntegerType()),
+        T.StructField("chol", T.IntegerType()),
+        T.StructField("fbs", T.IntegerType()),
+        T.StructField("restecg", T.IntegerType()),
+        T.StructField("thalach", T.IntegerType()),
+        T.StructField("exang", T.IntegerType()),
+        T.StructField("oldpeak", T.DoubleType()),
+        T.StructField("slope", T.IntegerType()),
+        T.StructField("ca", T.IntegerType()),
+        T.StructField("thal", T.IntegerType()),
+        T.StructField("num", T.IntegerType()),
     ]
 )
 
@@ -48,11 +59,25 @@ METHOD_RESULTS = T.StructType(
 #: All fields are read as text: numbers are parsed, and checked, by the score store.
 RAW_SCORES = T.StructType(
     [
-        T.StructField(n, T.StringType())
-        for n in (
-            "timestamp model protected_attribute target_column techniques "
-            "fitness fairness performance extra"
-        ).split()
+        T.StructField("timestamp", T.StringType()),
+        T.StructField("model", T.StringType()),
+        T.StructField("protected_attribute", T.StringType()),
+        T.StructField("target_column", T.StringType()),
+        T.StructField("techniques", T.StringType()),
+        T.StructField("fitness", T.StringType()),
+        T.StructField("fairness", T.StringType()),
+        T.StructField("performance", T.StringType()),
+        T.StructField("extra", T.StringType()),
+    ]
+)
+
+#: Our own store files: those of the archive with all the parts of the key.
+STORED_SCORES = T.StructType(
+    [
+        *RAW_SCORES.fields,
+        T.StructField("dataset", T.StringType()),
+        T.StructField("perf_weight", T.StringType()),
+        T.StructField("fair_weight", T.StringType()),
     ]
 )
 

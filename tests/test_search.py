@@ -4,10 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from evenkeel.functions import arrays
-from evenkeel.functions.hashing import hash32
+from evenkeel.functions.hashing import hash32, hash60
 from evenkeel.operators import search
-from evenkeel.plans.grid import run_grid
-from evenkeel.roles import TECHNIQUES
+from evenkeel.plans.grid import EVALUATED, run_grid, sample_evaluator
+from evenkeel.roles import Roles, TECHNIQUES
 from evenkeel.sources import catalogue, results, scores
 from evenkeel.sources.tables import RAW_SCORES, load_dataset
 
@@ -222,3 +222,46 @@ def test_run_grid_uses_stored_scores(spark):
     )
     rows = run_grid(runs, store).collect()
     assert len(rows) == 3 and all(r["fitness"] is not None and r["model_used"] == "lr" for r in rows)
+
+
+def test_run_grid_evaluates_what_no_store_has(spark, tmp_path):
+    rows = [(i, float(i % 17), i % 2, i % 60, int(i % 17 + i % 2 * 4 > 9)) for i in range(120)]
+    sample = spark.createDataFrame(rows, "row_id long, x double, sex int, age int, target int")
+    samples = {("d", a): (sample, Roles("row_id", "target", a)) for a in ("sex", "missing")}
+    runs = make_runs(spark, 4, 2, 1).withColumns({
+        "dataset": F.lit("d"), "model": F.lit("lr"), "target_column": F.lit("target"),
+        "protected_attribute": F.when(F.col("run_id") == 1, "missing").otherwise("sex"),
+    })
+    empty = spark.createDataFrame([], EVALUATED).drop("error")
+    path = str(tmp_path / "store")
+    out = {r["protected_attribute"] for r in runs.collect()}
+    assert out == {"sex", "missing"}
+    done = run_grid(runs, empty, evaluate=sample_evaluator(samples), store_path=path).collect()
+    assert len(done) == 4 and all(r["elapsed_seconds"] > 0 for r in done)
+    for r in done:
+        if r["protected_attribute"] == "missing":
+            assert r["error"].split(":")[0] in {"AnalysisException", "ValueError", "KeyError"} and r["fitness"] is None
+        else:
+            assert r["error"] is None and r["fitness"] is not None and r["techniques"]
+    stored = scores.load_scores(spark.read.parquet(path), "timestamp")
+    calls = []
+    again = run_grid(runs.filter("protected_attribute = 'sex'"), stored, evaluate=lambda m: calls.append(m.count()) or empty.withColumn("error", F.lit(None).cast("string")))
+    assert {r["run_id"] if "run_id" in r else r["fitness"] for r in again.collect()} and calls == [0]
+
+
+def test_scores_of_other_weights_are_not_reused(spark):
+    stored = scores.load_scores(raw(spark, [('["a"]', "0.1", "", "")]), "ord")
+    asked = spark.createDataFrame(
+        [(1, "d", "lr", "sex", "y", ["a"], 0.5, 0.5), (2, "d", "lr", "sex", "y", ["a"], 0.7, 0.3)],
+        "ord int, dataset string, model string, protected_attribute string, target_column string, techniques array<string>,"
+        " perf_weight double, fair_weight double",
+    )
+    found = {r["ord"]: r["fitness"] for r in scores.score_lookup(asked, stored, None, "ord").collect()}
+    assert found == {1: 0.1, 2: None}
+    assert [r["perf_weight"] for r in scores.score_misses(asked, [stored]).collect()] == [0.7]
+
+
+def test_draws_reach_every_position(spark):
+    n = 2**33
+    out = spark.range(2000).select(F.pmod(hash60(1, "id"), F.lit(n)).alias("p")).agg(F.max("p"), F.min("p")).first()
+    assert out[0] > 2**32 and out[1] < 2**31
