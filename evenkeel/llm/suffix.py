@@ -8,13 +8,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm.shared import remove, shared_folder
+from evenkeel.llm.shared import remove, shared_folder, written
 from evenkeel.llm.textwords import Rolling, U, mix
 
-CHUNK_BYTES = 4_000_000
+#: Bytes of text handled at once, unless one text alone is longer; a task needs about 150 times as many.
+CHUNK_BYTES = 1_000_000
+#: Contexts that a task remembers to have sent.
+MAX_SENT = 100_000
 #: Bits of the tables that tell which suffixes are wanted; a larger corpus only makes them let more through.
 MAX_BITS = 1 << 28
 #: Different contexts of one suffix that a single task compares; beyond that their strings are counted as rows.
@@ -142,34 +145,29 @@ class IndexFamily:
         rows.sortWithinPartitions("gram", "hull").write.parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path), path
 
-    def _match(self, rows: DataFrame) -> DataFrame:
-        path = shared_folder(self.spark, "matches")
-        rows.write.parquet(path)
-        return self.spark.read.schema(rows.schema).parquet(path)
-
     @staticmethod
-    def _prefixes(array: DataFrame) -> DataFrame:
-        return array.groupBy("gram").agg(F.sum("n").alias("n"), F.min("hull").alias("lo"), F.max("hull").alias("hi"))
+    def _total() -> Column:
+        return F.least(F.sum("n"), F.lit(2)).cast("int").alias("n")
+
+    def _merge(self) -> None:
+        """Merge arrays of equal size; done when a new batch comes, so the last arrays need not be merged for nothing."""
+        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
+            (rank, one, old), (_, two, older) = self.levels.pop(), self.levels.pop()
+            merged, path = self._store(one.unionByName(two).groupBy("gram", "hull").agg(self._total()))
+            remove(self.spark, old)
+            remove(self.spark, older)
+            self.levels.append((rank + 1, merged, path))
 
     def add(self, suffixes: DataFrame) -> None:
-        """Enter a batch of (gram, hull, n)."""
-        total = F.least(F.sum("n"), F.lit(2)).cast("int").alias("n")
-        array, path = self._store(suffixes.groupBy("gram", "hull").agg(total))
-        own = self._prefixes(array)
-        found = own.where("n > 1").select("gram", "lo", "hi")
+        """Enter a batch of (gram, hull, n): scan it with all arrays for prefixes that it shares with them or within."""
+        self._merge()
+        array, path = self._store(suffixes.groupBy("gram", "hull").agg(self._total()))
+        every = array.withColumn("new", F.lit(True))
         for _, level, _ in self.levels:
-            other = self._prefixes(level).withColumnsRenamed({"lo": "lo2", "hi": "hi2", "n": "n2"})
-            both = own.join(other, "gram").select("gram", F.least("lo", "lo2").alias("lo"), F.greatest("hi", "hi2").alias("hi"))
-            found = found.unionByName(both)
-        self.matches.append(self._match(found))
-        rank = 0
-        while self.levels and self.levels[-1][0] == rank:
-            _, level, old = self.levels.pop()
-            merged, new = self._store(array.unionByName(level).groupBy("gram", "hull").agg(total))
-            remove(self.spark, old)
-            remove(self.spark, path)
-            array, path, rank = merged, new, rank + 1
-        self.levels.append((rank, array, path))
+            every = every.unionByName(level.withColumn("new", F.lit(False)))
+        shared = every.groupBy("gram").agg(F.sum("n").alias("n"), F.min("hull").alias("lo"), F.max("hull").alias("hi"), F.max("new").alias("new"))
+        self.matches.append(written(shared.where("n > 1 and new").select("gram", "lo", "hi"), "matches"))
+        self.levels.append((0, array, path))
 
     def matched(self) -> DataFrame:
         """``gram, several``: prefixes that start at two places or more, and whether their contexts differ."""
@@ -223,7 +221,7 @@ def wanted_suffixes(docs: DataFrame, matched: DataFrame, plan: Plan) -> DataFram
                     if name not in sent:
                         sent.add(name)
                         contexts[i] = x.data[x.low[j] : x.high[j] + plan.length]
-                if len(sent) > 500_000:
+                if len(sent) > MAX_SENT:
                     sent.clear()
                 text = x.text[pick]
                 yield pa.record_batch([
