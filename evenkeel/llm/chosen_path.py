@@ -25,16 +25,17 @@ MAX_BITS = 1 << 28
 class Plan:
     """Parameters of the join.
 
-    A set is reduced to ``tokens`` min-wise tokens. Each of ``trees`` branches all sets by ``depth`` of them, drawn for
+    A set is reduced to ``tokens`` min-wise tokens, of which 8 bits are kept. Each of ``trees`` branches all sets by ``depth`` of them, drawn for
     the tree; a node of over ``node`` sets branches on by two more drawn tokens at each level, ``levels`` times. A pair
     at the threshold agrees on a path with probability ``jaccard ** depth``, so all trees miss it with
     ``(1 - jaccard ** depth) ** trees``: 1e-10 at 0.85 and 4e-8 at 0.8. Pairs whose agreement is ``slack`` standard
-    deviations below the threshold are not confirmed (3e-6).
+    deviations below the threshold are not confirmed (3e-6). Pairs of a later tree that agree
+    on the kept bits of an earlier path count as met there; wrongly so with a chance of 2^-24 a tree.
     """
 
     shingle: int = 3
     percent: int = 85
-    tokens: int = 256
+    tokens: int = 512
     trees: int = 24
     depth: int = 3
     node: int = 2000
@@ -57,6 +58,7 @@ class Plan:
     @property
     def least(self) -> float:
         j = self.percent / 100
+        j = j + (1 - j) / 256  # different tokens agree on 8 bits by chance
         return j - self.slack * (j * (1 - j) / self.tokens) ** 0.5
 
 
@@ -88,14 +90,19 @@ def digest(values: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(values.tobytes())
 
 
-def min_tokens(values: np.ndarray, factors: np.ndarray) -> bytes:
-    """16 bits of the min-wise token of each hash function."""
-    best = np.full(len(factors), 2**64 - 1, U)
+def min_tokens(values: np.ndarray, plan: Plan) -> tuple[bytes, bytes]:
+    """The path of a set in each tree (64 bits), and 8 bits of its min-wise token of each hash function."""
+    best = np.full(plan.tokens, 2**64 - 1, U)
     with np.errstate(over="ignore"):
-        for a in range(0, len(values), 4096):
-            part = values[a : a + 4096, None] * factors[None, :]
-            np.minimum(best, (part ^ (part >> U(32))).min(axis=0), out=best)
-    return mix(best).astype("<u2").tobytes()
+        for a in range(0, len(values), 2048):
+            part = values[a : a + 2048, None] * plan.factors[None, :]
+            part ^= part >> U(32)
+            np.minimum(best, part.min(axis=0), out=best)
+        best = mix(best)
+        path = np.arange(1, plan.trees + 1, dtype=U)
+        for level in range(plan.depth):
+            path = mix(path * U(0x9E3779B97F4A7C15) + best[plan.drawn[:, level]])
+    return path.tobytes(), best.astype("u1").tobytes()
 
 
 def _batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[list, list[np.ndarray]]]:
@@ -106,21 +113,22 @@ def _batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[list,
 
 
 def sketch(docs: DataFrame, plan: Plan) -> DataFrame:
-    """``doc_id, n_shingles, node`` (a 128-bit digest of the set), ``tokens`` of every document."""
+    """``doc_id, n_shingles, node`` (a 128-bit digest of the set), ``paths``, ``tokens`` of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in _batches(batches, plan.shingle):
+            found = [min_tokens(s, plan) if len(s) else (b"", b"") for s in sets]
             yield pa.record_batch([
                 pa.array(ids, pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(digest, sets), pa.binary()),
-                pa.array([min_tokens(s, plan.factors) if len(s) else b"" for s in sets], pa.binary()),
-            ], ["doc_id", "n_shingles", "node", "tokens"])
+                *[pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)],
+            ], ["doc_id", "n_shingles", "node", "paths", "tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, node binary, tokens binary")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, node binary, paths binary, tokens binary")
 
 
 def _matrix(column: pa.Array, tokens: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, tokens)
+    return np.frombuffer(b"".join(column.to_pylist()), "u1").reshape(-1, tokens)
 
 
 def paths(nodes: DataFrame, plan: Plan) -> DataFrame:
@@ -128,16 +136,12 @@ def paths(nodes: DataFrame, plan: Plan) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m = _matrix(batch.column(1), plan.tokens)
-            for t, drawn in enumerate(plan.drawn):
-                key = np.full(len(m), t + 1, U)
-                with np.errstate(over="ignore"):
-                    for c in drawn:
-                        key = mix(key * U(0x9E3779B97F4A7C15) + m[:, c].astype(U))
+            m = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<i8").reshape(-1, plan.trees)
+            for t in range(plan.trees):
                 tree = pa.array(np.full(len(m), t, np.int32))
-                yield pa.record_batch([pa.array(key.view(np.int64)), tree, batch.column(0)], ["path", "tree", "node"])
+                yield pa.record_batch([pa.array(np.ascontiguousarray(m[:, t])), tree, batch.column(0)], ["path", "tree", "node"])
 
-    return nodes.select("node", "tokens").mapInArrow(run, "path long, tree int, node binary")
+    return nodes.select("node", "paths").mapInArrow(run, "path long, tree int, node binary")
 
 
 def _place(node: bytes, rep: int | None, bits: int) -> int:
@@ -332,7 +336,9 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     empty table gives an empty table; other columns are ignored.
     """
     every = written(sketch(docs, plan), "sketch")
-    nodes = every.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("tokens").alias("tokens"))
+    nodes = every.where("n_shingles > 0").groupBy("node").agg(
+        F.min("doc_id").alias("rep"), F.any_value("paths").alias("paths"), F.any_value("tokens").alias("tokens")
+    )
     nodes = written(nodes, "nodes")
     rows = paths(nodes, plan)
     shared = rows.groupBy("path").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1").drop("n")
@@ -354,7 +360,7 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     ids = nodes.join(label, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     smallest = ids.groupBy("label").agg(F.min("rep").alias("component"))
     ids = ids.join(smallest, "label").select(F.col("node").alias("__node"), "component")
-    out = every.drop("tokens").join(ids, (F.col("node") == F.col("__node")) & (F.col("n_shingles") > 0), "left")
+    out = every.drop("paths", "tokens").join(ids, (F.col("node") == F.col("__node")) & (F.col("n_shingles") > 0), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
