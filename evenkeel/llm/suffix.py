@@ -198,11 +198,15 @@ def _in(table: np.ndarray, grams: np.ndarray) -> np.ndarray:
     return (table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
+_STARTS = "array<struct<a:long,b:long>>"
+
+
 def wanted_suffixes(docs: DataFrame, matched: DataFrame, plan: Plan) -> DataFrame:
-    """All places of matched suffixes: ``doc_id, mark, gram, hull, low, count, offset, context``.
+    """All places of matched suffixes: ``doc_id, mark, gram, hull, n, starts, count, offset, context``.
 
-    Documents are read again without a shuffle. ``context`` has the bytes where contexts of the prefix differ, once in
-    each task.
+    One row stands for the ``n`` equal suffixes of a text, so text of one short period, whose suffixes are as many as
+    its bytes, gives few rows; ``starts`` has runs of starts of their strings. Documents are read again without a
+    shuffle. ``context`` has the bytes where contexts of the prefix differ, once in each task.
     """
     tables = docs.sparkSession.sparkContext.broadcast((_bit_table(matched.select("gram")), _bit_table(matched.where("several").select("gram"))))
 
@@ -213,6 +217,19 @@ def wanted_suffixes(docs: DataFrame, matched: DataFrame, plan: Plan) -> DataFram
             for a, b, encoded in _pieces(batch, 2):
                 x = find_anchors(encoded, plan)
                 pick = np.flatnonzero(_in(some, x.gram))
+                pick = pick[np.lexsort((x.low[pick], x.hull[pick], x.gram[pick], x.text[pick]))]
+                text, gram, hull, low = x.text[pick], x.gram[pick], x.hull[pick], x.low[pick]
+                count = x.high[pick] - low + 1
+                group = np.concatenate(([True], (text[1:] != text[:-1]) | (gram[1:] != gram[:-1]) | (hull[1:] != hull[:-1])))[: len(pick)]
+                run = group | np.concatenate(([True], low[1:] != low[:-1] + count[:-1]))[: len(pick)]
+                first, begin = np.flatnonzero(group), np.flatnonzero(run)
+                last = np.concatenate((begin[1:], [len(pick)]))[: len(begin)] - 1
+                runs = pa.StructArray.from_arrays(
+                    [pa.array(low[begin] - x.starts[text[begin]]), pa.array((low + count)[last] - x.starts[text[begin]])], ["a", "b"]
+                )
+                starts = pa.ListArray.from_arrays(pa.array(np.concatenate((np.cumsum(run)[first] - 1, [len(begin)])), pa.int32()), runs)
+                n = np.diff(np.concatenate((first, [len(pick)])))
+                pick = pick[first]
                 rich = _in(several, x.gram[pick])
                 contexts: list[bytes | None] = [None] * len(pick)
                 for i in np.flatnonzero(rich).tolist():
@@ -227,12 +244,12 @@ def wanted_suffixes(docs: DataFrame, matched: DataFrame, plan: Plan) -> DataFram
                 yield pa.record_batch([
                     batch.column(0).slice(a, b - a).take(pa.array(text)), batch.column(1).slice(a, b - a).take(pa.array(text)),
                     pa.array(x.gram[pick].view(np.int64)), pa.array(x.hull[pick].view(np.int64)),
-                    pa.array(x.low[pick] - x.starts[text]), pa.array((x.high - x.low + 1)[pick].astype(np.int32)),
+                    pa.array(n), starts, pa.array((x.high - x.low + 1)[pick].astype(np.int32)),
                     pa.array((x.at - x.low)[pick].astype(np.int32)), pa.array(contexts, pa.binary()),
-                ], ["doc_id", "mark", "gram", "hull", "low", "count", "offset", "context"])
+                ], ["doc_id", "mark", "gram", "hull", "n", "starts", "count", "offset", "context"])
 
     return docs.select("doc_id", "mark", "text").mapInArrow(
-        run, "doc_id long, mark long, gram long, hull long, low long, count int, offset int, context binary"
+        run, f"doc_id long, mark long, gram long, hull long, n long, starts {_STARTS}, count int, offset int, context binary"
     )
 
 
@@ -348,16 +365,18 @@ def repeated_spans(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     places.write.parquet(places_path)
     places = spark.read.schema(places.schema).parquet(places_path)
     kinds = places.groupBy("gram", "hull").agg(
-        F.count("*").alias("n"), F.first("count").alias("count"), F.first("offset").alias("offset"), F.max("context").alias("context")
+        F.sum("n").alias("n"), F.first("count").alias("count"), F.first("offset").alias("offset"), F.max("context").alias("context")
     )
-    whole = F.array(F.struct(F.lit(0).alias("a"), F.col("count").alias("b")))
-    full = kinds.where("n > 1").select("gram", "hull", whole.alias("runs"))
+    full = kinds.where("n > 1").select("gram", "hull", F.lit(None).cast("array<struct<a:int,b:int>>").alias("runs"))
     several = kinds.where(F.col("context").isNotNull())
     partly = compare_contexts(several.select("gram", "hull", "count", "offset", "context"), plan)
     partly = partly.join(kinds.where("n = 1").select("gram", "hull"), ["gram", "hull"], "left_semi")
     status = full.unionByName(partly)
-    span = F.transform("runs", lambda r: F.struct((F.col("low") + r["a"]).alias("start"), (F.col("low") + r["b"] - 1 + plan.length).alias("stop")))
-    hits = places.select("doc_id", "mark", "gram", "hull", "low").join(status, ["gram", "hull"])
+    low = F.get("starts", F.lit(0))["a"]  # a suffix found once has one run of starts
+    some = F.transform("runs", lambda r: F.struct((low + r["a"]).alias("a"), (low + r["b"]).alias("b")))
+    covered = lambda r: F.struct(r["a"].alias("start"), (r["b"] - 1 + plan.length).alias("stop"))
+    span = F.transform(F.when(F.col("runs").isNull(), F.col("starts")).otherwise(some), covered)
+    hits = places.select("doc_id", "mark", "gram", "hull", "starts").join(status, ["gram", "hull"])
     return hits.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list(span)).alias("spans"))  # a document's own spans
 
 
