@@ -9,6 +9,7 @@ from evenkeel.functions.recode import path_stem
 from evenkeel.operators.clean import pivot_mean
 from evenkeel.operators.joins import attach, keyed_join
 from evenkeel.operators.ordering import exact_quantiles
+from evenkeel.roles import require_columns
 
 #: Metric columns of a run and the prefixes their summaries use.
 RUN_METRICS = {
@@ -25,6 +26,7 @@ def summarize(df: DataFrame, keys: list[str], metrics: dict[str, str] = RUN_METR
 
     Each statistic skips its own NULLs; rows with a NULL key are dropped.
     """
+    require_columns(df, [*keys, *metrics])
     return _summary(df.dropna(subset=keys), keys, metrics)
 
 
@@ -63,6 +65,7 @@ def summarize_levels(
 
     ``level`` is 'grid' or the parameter's name; parameters not grouped by are NULL.
     """
+    require_columns(df, [*params, *metrics])
     types = {f.name: f.dataType for f in df.schema.fields}
 
     def level(name: str, kept: list[str]) -> Column:
@@ -91,6 +94,7 @@ def best_per_group(
     Rows with a NULL key are dropped. Spark prunes each task to its own ``n`` best rows
     per group before the shuffle, so a huge group is never moved whole.
     """
+    require_columns(df, [*keys, order, value])
     w = Window.partitionBy(*keys).orderBy(F.col(value).desc_nulls_last(), F.col(order))
     ranked = df.dropna(subset=keys).withColumn("__r", F.row_number().over(w))
     return ranked.filter(F.col("__r") <= n).drop("__r")

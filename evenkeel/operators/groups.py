@@ -28,19 +28,11 @@ def by_mode(
     counts = df.groupBy(*keys, column).agg(
         F.count("*").alias("__n"), F.min(row_id).alias("__first")
     )
-    top = counts.groupBy(*keys).agg(
+    # the most frequent value; ties go to the smallest first-seen identifier
+    rank = F.struct((-F.col("__n")).alias("o"), "__first")
+    winner = counts.groupBy(*keys).agg(
+        F.min_by(F.struct(F.col(column).alias("v")), rank).alias("__top"),
         F.sum("__n").alias("__size"),
-        F.max("__n").alias("__most"),
-    )
-    # ties: smallest first-seen identifier among the most frequent values
-    tied = counts.join(
-        top.withColumnsRenamed({k: f"__t_{k}" for k in keys}),
-        [F.col(k).eqNullSafe(F.col(f"__t_{k}")) for k in keys]
-        + [F.col("__n") == F.col("__most")],
-    )
-    winner = tied.groupBy(*keys).agg(
-        F.min_by(F.struct(F.col(column).alias("v")), "__first").alias("__top"),
-        F.max("__size").alias("__size"),
     )
     joined = attach(df, winner, keys, "__size", F.col(row_id))
     hit = F.coalesce(F.col(column) == F.col("__top")["v"], F.lit(False))

@@ -23,10 +23,11 @@ from evenkeel.operators.ordering import (
     value_cells,
 )
 
+# Level and replicates of the study.
 ALPHA = 0.05
 REPLICATES = 10_000
 SEED = 20260930
-#: The exact signed-rank distribution is used up to this many pairs without zeros or ties.
+#: Method "auto" takes the exact signed-rank distribution up to this many pairs.
 EXACT_PAIRS = 50
 
 HYPOTHESIS = ["metric", "baseline"]
@@ -111,11 +112,11 @@ def normal_tail(z: Column) -> Column:
 
 
 def exact_signed_rank(n: Column, w: Column) -> Column:
-    """Two-sided exact p of the smaller rank sum ``w``, for n up to ``EXACT_PAIRS``.
+    """Two-sided exact p of the smaller rank sum ``w``.
 
-    Counts the subsets of 1..n by their sum, adding one rank at a time.
+    Counts the subsets of 1..n by their sum, adding one rank at a time: n^3 steps for n pairs.
     """
-    size = F.greatest(F.least(n, F.lit(EXACT_PAIRS)), F.lit(1)).cast("int")
+    size = F.greatest(n, F.lit(1)).cast("int")
     ways = F.aggregate(
         F.sequence(F.lit(1), size),
         F.array(F.lit(1.0)),
@@ -128,27 +129,39 @@ def exact_signed_rank(n: Column, w: Column) -> Column:
     return F.least(F.lit(1.0), 2 * _sum(below) / F.pow(F.lit(2.0), size))
 
 
-def signed_rank_p(n: Column, w_plus: Column, w_minus: Column, ties: Column, zeros: Column) -> Column:
-    """Exact for few pairs without ties or zeros, else normal with tie correction."""
+def signed_rank_method(n: Column, ties: Column, zeros: Column, method: str = "auto") -> Column:
+    """'exact' or 'normal'. Ties and zeros have no exact distribution, so they are always normal."""
+    if method not in ("auto", "exact", "normal"):
+        raise ValueError(f"unknown method: {method}")
+    clean = (ties == 0) & (zeros == 0)
+    exact = F.lit(False) if method == "normal" else clean & (n <= EXACT_PAIRS) if method == "auto" else clean
+    return F.when(exact, "exact").otherwise("normal")
+
+
+def signed_rank_p(n: Column, w_plus: Column, w_minus: Column, ties: Column, method: Column) -> Column:
+    """Exact p-value, or normal with tie correction, as ``method`` says."""
     m = n.cast("double")
     spread = F.sqrt((m * (m + 1) * (2 * m + 1) - ties / 2) / 24)
     z = F.try_divide(w_plus - m * (m + 1) / 4, spread)
-    exact = (n <= EXACT_PAIRS) & (ties == 0) & (zeros == 0)
     return (
         F.when(n == 0, F.lit(1.0))
-        .when(exact, exact_signed_rank(n, F.least(w_plus, w_minus)))
+        .when(method == "exact", exact_signed_rank(n, F.least(w_plus, w_minus)))
         .otherwise(normal_tail(z))
     )
 
 
-def signed_rank_test(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Two-sided signed-rank test per hypothesis."""
+def signed_rank_test(pairs: DataFrame, keys: list[str], method: str = "auto") -> DataFrame:
+    """Two-sided signed-rank test per hypothesis; ``p_method`` names the distribution used.
+
+    ``method`` is 'exact' (for any number of pairs), 'normal', or 'auto': exact up to ``EXACT_PAIRS``.
+    """
     zeros = pairs.groupBy(*keys).agg(F.count_if(F.col("x") == F.col("y")).alias("n_zero"))
     full = keyed_join(zeros, signed_ranks(pairs, keys), keys, "left").fillna(
         0, ["n_used", "w_plus", "w_minus", "tie_term"]
     )
-    stats = [F.col(c) for c in ("n_used", "w_plus", "w_minus", "tie_term", "n_zero")]
-    return full.withColumn("p_value", signed_rank_p(*stats))
+    n, ties = F.col("n_used"), F.col("tie_term")
+    full = full.withColumn("p_method", signed_rank_method(n, ties, F.col("n_zero"), method))
+    return full.withColumn("p_value", signed_rank_p(n, F.col("w_plus"), F.col("w_minus"), ties, F.col("p_method")))
 
 
 # ---------------------------------------------------------------------------- sign test
@@ -349,8 +362,18 @@ def compare_methods(
     return table.withColumns({"direction": direction, "a12_effective": effect})
 
 
-def hypothesis_table(comparison: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """Add family-wise corrections and decisions to :func:`compare_methods` rows."""
+def hypothesis_table(
+    comparison: DataFrame, alpha: float = ALPHA, labels: dict[tuple[str, str], str] | None = None
+) -> DataFrame:
+    """Add family-wise corrections and decisions to :func:`compare_methods` rows.
+
+    ``labels`` names the hypothesis of each (metric, baseline) in a first column; one without a name stays NULL.
+    """
+    if labels is not None:
+        name = F.lit(None).cast("string")
+        for (metric, baseline), label in labels.items():
+            name = F.when((F.col("metric") == metric) & (F.col("baseline") == baseline), label).otherwise(name)
+        comparison = comparison.select(name.alias("hypothesis"), *comparison.columns)
     spread = F.concat_ws("|", *HYPOTHESIS)
     table = holm_adjust(cut_lineage(comparison), [], "p_value", spread, "p_holm")
     table = holm_adjust(table, [], "sign_p", spread, "sign_p_holm")

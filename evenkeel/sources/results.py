@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evenkeel.operators.lineage import cut_lineage
 from evenkeel.sources.tables import RUN_RESULTS
 
 RESULT_COLUMNS = RUN_RESULTS.fieldNames()
@@ -49,7 +50,11 @@ def count_results(rows: DataFrame) -> DataFrame:
 
 
 def record_results(rows: DataFrame, results_path: str, errors_path: str) -> tuple[int, int]:
-    """Append successes and failures to their tables; returns (n_success, n_error)."""
+    """Append successes and failures to their tables; returns (n_success, n_error).
+
+    ``rows`` are made once, however costly, and written and counted from the shared folder.
+    """
+    rows = cut_lineage(rows)
     good, bad = split_results(rows)
     good.write.mode("append").parquet(results_path)
     bad.write.mode("append").parquet(errors_path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from evenkeel.operators.lineage import cut_lineage
 from evenkeel.sources.results import split_results
 
 
@@ -18,7 +19,7 @@ def record_stream(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        good, bad = split_results(batch)
+        good, bad = split_results(cut_lineage(batch))
         good.write.mode("overwrite").parquet(f"{results_path}/batch={batch_id}")
         bad.write.mode("overwrite").parquet(f"{errors_path}/batch={batch_id}")
 

@@ -181,3 +181,24 @@ def test_box(spark):
     df = spark.createDataFrame([(i, "m", float(v)) for i, v in enumerate([1, 2, 3, 4, 100])], "i int, m string, v double")
     r = analysis.box_stats(df, ["m"], "v", "i").first()
     assert (r["q1"], r["median"], r["q3"], r["whisker_low"], r["whisker_high"], r["n_outliers"]) == (2, 3, 4, 1, 4, 1)
+
+
+def test_signed_rank_method_is_explicit(spark):
+    xs = [i + 1 if i % 3 else -(i + 1) for i in range(60)]
+    pairs = pair_table(spark, {"h": (xs, [0] * 60)})
+    rows = {m: stats.signed_rank_test(pairs, KEYS, m).first() for m in ("auto", "exact", "normal")}
+    assert [rows[m]["p_method"] for m in ("auto", "exact", "normal")] == ["normal", "exact", "normal"]
+    assert rows["exact"]["p_value"] != rows["normal"]["p_value"]
+    assert abs(rows["exact"]["p_value"] - rows["normal"]["p_value"]) < 0.01
+    with pytest.raises(ValueError):
+        stats.signed_rank_test(pairs, KEYS, "other")
+
+
+def test_hypotheses_are_named(spark):
+    rows = spark.createDataFrame(
+        [("m", "b", 0.01, 0.7, 0.9, 0.02), ("m", "c", 0.5, 0.5, 0.9, 0.6)],
+        "metric string, baseline string, p_value double, a12_effective double, symmetry_p double, sign_p double",
+    )
+    table = stats.hypothesis_table(rows, labels={("m", "b"): "H1"})
+    assert table.columns[0] == "hypothesis"
+    assert {r["baseline"]: r["hypothesis"] for r in table.collect()} == {"b": "H1", "c": None}
