@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evenkeel.operators.lineage import cut_lineage
+
 #: A group table is broadcast only after it has been seen to hold no more rows than this.
 BROADCAST_ROWS = 10_000
 #: A group with at least this share of the rows is hot; at most ``HOT_PARTS`` of them can exist.
@@ -40,7 +41,7 @@ def attach(
     ``HOT_PARTS`` groups) are broadcast, and their rows are scattered by ``spread`` in the
     shuffled join that serves all other groups; no task receives a hot group whole.
     ``weight`` is the column of ``groups`` that counts the group's rows. A large group
-    table stays cached, since it is read several times.
+    table is written to the checkpoint folder, since it is read several times.
     """
     if not keys:  # one group holds all rows
         one = {"__one": F.lit(0)}
@@ -49,13 +50,12 @@ def attach(
         )
         return joined.drop("__one")
     spark = rows.sparkSession
-    groups = groups.persist(StorageLevel.MEMORY_AND_DISK)
     known = groups.limit(BROADCAST_ROWS + 1).collect()
     if len(known) <= BROADCAST_ROWS:
-        groups.unpersist()
         small = spark.createDataFrame(known, groups.schema)
         return keyed_join(rows, F.broadcast(small), keys, how)
 
+    groups = cut_lineage(groups)
     total = groups.agg(F.sum(weight).alias("t")).first()["t"]
     is_hot = F.col(weight) * HOT_PARTS >= F.lit(total)
     hot = spark.createDataFrame(groups.filter(is_hot).collect(), groups.schema)

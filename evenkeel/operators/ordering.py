@@ -190,18 +190,17 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles per group, one column per entry of ``probs``.
 
-    ``weight`` names a column that says how often a row counts. NULL values are ignored. Only the cells that contain a wanted position are sorted, so
-    neither a huge group nor many distinct values ever sit in one task. Groups without any
-    value are absent from the result.
+    ``weight`` names a column that says how often a row counts. NULL values are ignored. Rows are counted per cell
+    first; only those of the cells that contain a wanted position are moved and sorted, so neither a huge group nor many
+    distinct values ever sit in one task. Groups without any value are absent from the result.
     """
     data = rows.filter(F.col(value).isNotNull())
     repeats = F.sum(weight) if weight else F.count("*")
-    counts = data.groupBy(*keys, value).agg(repeats.alias("__n"))
-    cell_rows = with_cell(counts, value, value_cells(data, value))
+    cell_rows = with_cell(data.select(*keys, value, *([weight] if weight else [])), value, value_cells(data, value))
     every = Window.partitionBy(*keys)
     offsets = (
         cell_rows.groupBy(*keys, "__cell")
-        .agg(F.sum("__n").alias("__cn"))
+        .agg(repeats.alias("__cn"))
         .withColumn("__off", _before(keys, "__cell", "__cn"))
         .withColumn("__size", F.sum("__cn").over(every))
     )
@@ -217,9 +216,11 @@ def exact_quantiles(
         return hit
 
     wanted = offsets.filter(holds(F.col("__off"), F.col("__cn"))).select(
-        *keys, "__cell", "__off", "__size"
+        *keys, "__cell", "__off", "__size", "__cn"
     )
-    ranked = keyed_join(cell_rows, wanted, [*keys, "__cell"]).withColumn(
+    held = attach(cell_rows, wanted, [*keys, "__cell"], "__cn", F.col(value))
+    counts = held.groupBy(*keys, "__cell", "__off", "__size", value).agg(repeats.alias("__n"))
+    ranked = counts.withColumn(
         "__at", F.col("__off") + _before([*keys, "__cell"], value, "__n")
     )
     picks = []
