@@ -45,6 +45,8 @@ HEADLINE = [
     "ga_generation",
     "ga_search",
     "train_lr",
+    "evaluate_practices",
+    "run_grid_evaluated",
 ]
 
 
