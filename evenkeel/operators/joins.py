@@ -80,14 +80,23 @@ def attach(
 
 
 def explode_range(df: DataFrame, count: Column, out: str, chunk: int = 10_000) -> DataFrame:
-    """One row per integer 0..count-1, generated in chunks spread over all tasks."""
-    chunks = df.withColumn("__n", count.cast("bigint")).filter("__n > 0").withColumn(
-        "__c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__n") - 1) / chunk)))
+    """One row per integer 0..count-1, generated in chunks spread over all tasks.
+
+    Chunks are listed in two levels, so no task makes a list longer than ``chunk`` for up to ``chunk`` ** 3 rows.
+    """
+    keys = [F.col(c) for c in df.columns]
+    last = F.floor((F.col("__n") - 1) / chunk)
+    blocks = df.withColumn("__n", count.cast("bigint")).filter("__n > 0").withColumn(
+        "__b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(last / chunk)))
+    )
+    first = F.col("__b") * chunk
+    chunks = blocks.repartition(*keys, F.col("__b")).withColumn(
+        "__c", F.explode(F.sequence(first, F.least(first + chunk - 1, last)))
     )
     start = F.col("__c") * chunk
     stop = F.least(start + chunk, F.col("__n")) - 1
     return (
-        chunks.repartition(*[F.col(c) for c in [*df.columns, "__c"]])
+        chunks.repartition(*keys, F.col("__c"))
         .withColumn(out, F.explode(F.sequence(start, stop)))
-        .drop("__n", "__c")
+        .drop("__n", "__b", "__c")
     )
