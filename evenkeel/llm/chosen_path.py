@@ -16,7 +16,7 @@ from evenkeel.llm.pretokens import chunks
 from evenkeel.llm.shared import written
 from evenkeel.llm.textwords import VISIBLE, U, Words, mix
 
-CHUNK_CHARS = 3_000_000
+CHUNK_CHARS = 1_000_000
 #: Bits of the table that tells which sets are wanted; a larger corpus only makes it let more sets through.
 MAX_BITS = 1 << 28
 

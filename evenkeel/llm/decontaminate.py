@@ -17,7 +17,7 @@ WINDOW = 13
 SHINGLE = 3
 #: Windows that are held by every task at once; larger benchmarks are taken in blocks of about so many.
 BLOCK_WINDOWS = 200_000
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 1_000_000
 _WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 

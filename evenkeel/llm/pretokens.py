@@ -9,7 +9,7 @@ from itertools import chain
 import numpy as np
 
 #: Characters of text handled at once, unless one text alone is longer.
-CHUNK_CHARS = 3_000_000
+CHUNK_CHARS = 1_500_000
 #: Pieces kept with their ids by each worker; the table starts anew beyond that.
 CACHE_PIECES = 1_000_000
 OTHER, LETTER, NUMBER, SPACE = range(4)
