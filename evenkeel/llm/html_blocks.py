@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,22 +14,34 @@ from pyspark.sql import functions as F
 #: Lines of one window, the text length at which a window surges, and pages handled at once.
 WINDOW, SURGE, PAGES = 3, 86, 256
 
+#: A part named as boilerplate is kept, and its own parts are judged, if it holds more than this share of the page's text.
+SHARE = 0.7
+
 # Element names of HTML, and words of class and id names of parts that are not the article.
 RAW = frozenset("script style noscript template iframe object svg math canvas textarea title xmp noembed noframes".split())
-SKIPPED = frozenset("nav footer aside form button select dialog menu datalist audio video map".split())
+SKIPPED = frozenset("nav footer aside button select menu datalist audio video map".split())
+BOUNDED = frozenset("form dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike "
     "strong sub sup time tt u var wbr img".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN = frozenset(["article", "main"])
-KEPT = MAIN | {"html", "body", "head"}
+KEPT = frozenset(["html", "body", "head"])
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr notice "
     "notices banner popup modal overlay menu nav navbar navigation breadcrumb breadcrumbs sidebar widget widgets footer header masthead "
     "comment comments commentlist disqus replies respond related recommended share sharing social newsletter subscribe signup login "
     "search pagination pager toolbar skip".split()
 )
+#: Words before a name that say that the element only has such a part, and words after it that leave its sense.
+HAS = frozenset("has have with without no not is hide show".split())
+TAILS = frozenset(
+    "area articles bar block body bottom box button buttons col column container content icon icons inner input item items label "
+    "left line link links list main news outer panel posts right row section slot slots stories text thread title top topics unit "
+    "wrap wrapper".split()
+)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 
 _TOKEN = re.compile(
@@ -41,11 +54,25 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 
 
+def _named(value: str, strict: bool) -> bool:
+    """Whether a class or id names such a part. ``strict`` wants no other word after the name (``related-work`` is none)."""
+    for token in value.split():
+        pieces = [x for x in re.split(r"[_-]+", token) if x]
+        words = [w.lower() for x in pieces for w in ([x] if x.lower() in NAMES else _PART.findall(x) or [x])]
+        hits = [i for i, w in enumerate(words) if w in NAMES]
+        if not hits or HAS.intersection(words[: hits[0]]):
+            continue
+        if not strict or all(w in TAILS or w.isdigit() for w in words[hits[-1] + 1 :]):
+            return True
+    return False
+
+
 def _boilerplate(name: str, attrs: str, inside: bool) -> bool:
-    """Whether an element is a part that is not the article; ``inside`` says that an article or main is open."""
+    """Whether the name, role, class or id of an element is that of a part that is not the article; ``inside`` says that
+    an article or main is open."""
     if name in KEPT:
         return False
-    if name in SKIPPED or name == "header" and not inside:
+    if name in BOUNDED or name == "header" and not inside:
         return True
     if "=" not in attrs and "hidden" not in attrs.lower():
         return False
@@ -55,26 +82,60 @@ def _boilerplate(name: str, attrs: str, inside: bool) -> bool:
             return True
         if key == "role" and value.lower() in ROLES:
             return True
-        if key in ("class", "id") and any(w.lower() in NAMES for part in re.split(r"[\s_-]+", value) for w in (part, *_PART.findall(part))):
+        if name in HEADINGS or key == "id" and inside and name == "section":  # a place to link to
+            continue
+        if key in ("class", "id") and _named(value, inside or name in MAIN):
             return not (inside and value.lower().split("-")[0] in ("header", "entry"))
     return False
 
 
-def _closing(page: str, start: int, name: str) -> int | None:
-    """The end of the element ``name`` whose content begins at ``start``; None if it is never closed."""
-    depth = 1
-    for m in re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])[^>]*>", re.I).finditer(page, start):
-        depth += -1 if m[1] else 1
-        if depth == 0:
-            return m.end()
-    return None
+def _pieces(page: str) -> tuple[list[tuple[str, str, bool, str]], dict[int, int]]:
+    """Each text with the tag after it (name, whether it ends, attributes), and the end tag of each start tag.
+
+    Comments and elements that are never text are left out; one that ends in ``/>`` has no content.
+    """
+    pieces, close, opened, at = [], {}, {}, 0
+    while True:
+        m = _TOKEN.search(page, at)
+        text = page[at : m.start() if m else len(page)]
+        if m is None:
+            pieces.append((text, "", False, ""))
+            return pieces, close
+        at, name = m.end(), (m["name"] or "").lower()
+        end, attrs = bool(m["end"]), m["attrs"] or ""
+        if name in RAW:
+            if not end and not attrs.rstrip().endswith("/"):
+                found = _RAW_END[name].search(page, at)
+                at = found.end() if found else len(page)
+            name = ""
+        elif name and name not in VOID:
+            if not end:
+                opened.setdefault(name, []).append(len(pieces))
+            elif opened.get(name):
+                close[opened[name].pop()] = len(pieces)
+        pieces.append((text, name, end, attrs))
+
+
+def _unlinked(pieces: list[tuple[str, str, bool, str]], close: dict[int, int]) -> list[int]:
+    """Characters outside links and parts that are always left out, up to each piece."""
+    total, links, until, out = 0, False, -1, []
+    for i, (text, name, end, _) in enumerate(pieces):
+        if i > until and not links:
+            total += len(text.strip())
+        out.append(total)
+        if name == "a":
+            links = not end
+        elif name in SKIPPED and not end and i > until:
+            until = close.get(i, -1)
+    return out
 
 
 class Lines:
-    """The lines of a page once markup is stripped: text, length outside links, and whether it lies in an article."""
+    """The lines of a page once markup is stripped: text, length outside links, and the number of its article or 0."""
 
     def __init__(self) -> None:
-        self.rows: list[tuple[str, int, bool]] = []
+        self.rows: list[tuple[str, int, int]] = []
+        self.at: list[int] = []  # the piece that ends each line
         self.parts: list[str] = []
         self.linked: list[str] = []
 
@@ -83,49 +144,83 @@ class Lines:
         if link:
             self.linked.append(raw)
 
-    def end(self, inside: bool, gap: int = 0) -> None:
-        """Finish a line; ``gap`` adds empty lines, so that the parts beside it do not meet in a window."""
+    def end(self, at: int, inside: int, heading: bool = False) -> None:
+        """Finish a line; all text of an article's heading counts, for it often links to its own page."""
         words = html.unescape("".join(self.parts)).split()
         line = " ".join(words)
         links = len(" ".join(html.unescape("".join(self.linked)).split())) if self.linked else 0
         if line:
-            self.rows.append((line, max(0, len(line) - links), inside))
-        self.rows += [("", 0, inside)] * gap
+            self.rows.append((line, len(line) if inside and heading else max(0, len(line) - links), inside))
+            self.at.append(at)
         self.parts, self.linked = [], []
 
+    def between(self, first: int, last: int) -> bool:
+        """Whether a line ends in the pieces after ``first`` up to ``last``."""
+        return bisect_right(self.at, last) > bisect_right(self.at, first)
 
-def strip_markup(page: str, by_names: bool = True) -> list[tuple[str, int, bool]]:
-    """The lines of a page, one a block element. Parts that are no article leave a gap; without ``by_names`` only
-    elements that are never text (scripts and the like) do."""
-    lines, at, open_main, links = Lines(), 0, 0, 0
-    while True:
-        m = _TOKEN.search(page, at)
-        lines.text(page[at : m.start() if m else len(page)], links > 0)
-        if m is None:
-            lines.end(open_main > 0)
-            return lines.rows
-        at, name = m.end(), (m["name"] or "").lower()
+
+def strip_markup(page: str, level: int = 2) -> list[tuple[str, int, int]]:
+    """The lines of a page, one a block element.
+
+    A part that is no article leaves nothing, and lines beside it in the same parent stay neighbours; at the edge of its
+    parent it leaves a gap, as do the ends of an article. Level 1 leaves out by element only, level 0 nothing but
+    elements that are never text (scripts and the like).
+    """
+    pieces, close = _pieces(page)
+    unlinked = _unlinked(pieces, close)
+    lines, i, open_main, articles, links, heading = Lines(), 0, 0, 0, False, False
+    parents: list[int] = []
+    removed: list[tuple[int, int, list[int]]] = []
+    gaps: set[int] = set()
+
+    while i < len(pieces):
+        text, name, end, attrs = pieces[i]
+        lines.text(text, links)
+        inside = articles if open_main else 0
+        while parents and close[parents[-1]] <= i:
+            parents.pop()
         if not name:
-            continue
-        end, attrs = bool(m["end"]), m["attrs"] or ""
-        if name in RAW and not end:
-            close = _RAW_END[name].search(page, at)
-            at = close.end() if close else len(page)
+            if i == len(pieces) - 1:
+                lines.end(i, inside, heading)
+            i += 1
             continue
         if name == "a":
-            links = 0 if end else 1
+            links = not end
+        if not end and i in close and (
+            level > 0 and name in SKIPPED
+            or level > 1 and _boilerplate(name, attrs, open_main > 0) and unlinked[close[i]] - unlinked[i] <= SHARE * unlinked[-1]
+        ):
+            lines.end(i, inside, heading)
+            removed.append((i, close[i], parents[::-1]))
+            i, links = close[i] + 1, False
+            continue
         if name in MAIN:
-            lines.end(open_main > 0, WINDOW)
-            open_main = max(0, open_main + (-1 if end else 1))
-        elif not end and by_names and name not in VOID and _boilerplate(name, attrs, open_main > 0):
-            close = _closing(page, at, name)
-            if close is not None:
-                lines.end(open_main > 0, WINDOW)
-                at, links = close, 0
-            else:
-                lines.end(open_main > 0)
+            lines.end(i, inside, heading)
+            was, open_main = open_main, max(0, open_main + (-1 if end else 1))
+            articles += not was and open_main
+            if not was or not open_main:
+                gaps.add(len(lines.rows))
         elif name not in INLINE:
-            lines.end(open_main > 0)
+            lines.end(i, inside, heading)
+        if name in HEADINGS:
+            heading = not end
+        if i in close:
+            parents.append(i)
+        i += 1
+    for first, last, above in removed:
+        for p in [*above, -1]:
+            end_of = close.get(p, len(pieces))
+            before, after = lines.between(p, first), lines.between(last, end_of)
+            if before or after:
+                if not (before and after):
+                    gaps.add(bisect_right(lines.at, first))
+                break
+    rows: list[tuple[str, int, int]] = []
+    for k, row in enumerate(lines.rows):
+        if k in gaps:
+            rows += [("", 0, 0)] * WINDOW
+        rows.append(row)
+    return rows
 
 
 def regions(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
@@ -159,8 +254,8 @@ def main_text(page: str | None) -> str:
     """
     if not page:
         return ""
-    for by_names in (True, False):
-        rows = strip_markup(page, by_names)
+    for level in (2, 1, 0):
+        rows = strip_markup(page, level)
         inside = [r for r in rows if r[2]]
         if any(r[0] for r in inside):
             return " ".join(r[0] for r in inside if r[0])

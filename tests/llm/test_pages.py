@@ -99,3 +99,18 @@ def test_extract_pages(spark):
 def test_long_unclosed_markup_ends():
     assert html_blocks.main_text("<a " * 20_000) == " ".join(["<a"] * 20_000)
     assert html_blocks.main_text("<div>" * 5_000 + "x") == "x"
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<p>{LONG}</p><div class=ad>x</div><p>Short end.</p>", f"{LONG} Short end."),
+    (f"<p>{LONG}</p><div><div class=ad>x</div></div><p>Short end.</p>", f"{LONG} Short end."),
+    (f"<nav>Home</nav><div class='sidebar-page'><p>{LONG}</p></div><footer>foot</footer>", LONG),
+    (f"<form><div class=menu>Home page</div><p>{LONG}</p><p>End.</p></form><p>foot</p>", f"{LONG} End. foot"),
+    (f"<div class='has-sidebar'><p>{LONG}</p></div><div><p>{LONG} {LONG} {LONG}</p></div>", " ".join([LONG] * 4)),
+    (f"<article><p>{LONG}</p><section id='related-work'><h2 id='search-methods'>Search</h2><p>Older.</p></section></article>", f"{LONG} Search Older."),
+    (f"<article><p>{LONG}</p><div class='related-posts'>More</div></article>", LONG),
+    (f"<p>{LONG}</p><svg width='1' /><p>After.</p>", f"{LONG} After."),
+    ("<nav>Home</nav><div class=menu>A menu.</div><footer>foot</footer>", "A menu."),
+])
+def test_no_article_text_is_lost(page, text):
+    assert html_blocks.main_text(page) == text
