@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: Lines of one window, the text length at which a window surges, and pages handled at once.
 WINDOW, SURGE, PAGES = 3, 86, 256
 
+#: How much more a line inside an article or main element weighs than one outside.
+WEIGHT = 2
 #: A part named as boilerplate is kept, and its own parts are judged, if it holds more than this share of the page's text.
 SHARE = 0.7
 
@@ -246,22 +248,35 @@ def regions(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> lis
     return out
 
 
-def main_text(page: str | None) -> str:
-    """The article of a page as one line; empty if there is none.
+def _ranges(rows: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """The ranges of lines that are the article.
 
-    Inside an article or main element, all lines of its largest occurrence and of others that surge are kept; without
-    one, the ranges that surge, else the range with the most text outside links.
+    On every page, ranges that surge. The largest article or main element weighs ``WEIGHT`` times; unless a range
+    outside articles still outweighs it, every range of its own counts, however short, and none outside articles.
     """
+    lengths = [n for _, n, _ in rows]
+    found = regions(lengths)
+    sums: dict[int, int] = {}
+    for line, n, article in rows:
+        if article and line:
+            sums[article] = sums.get(article, 0) + n
+    best = max(sums, key=lambda k: (sums[k], -k), default=0)
+    outside = max((sum(lengths[a:b]) for a, b in found if not rows[a][2]), default=0)
+    if best and WEIGHT * sums[best] >= outside:
+        own = regions([n if article == best else 0 for _, n, article in rows], surge=1)
+        if not own:  # nothing but links
+            own = [(i, i + 1) for i, r in enumerate(rows) if r[2] == best]
+        return sorted(own + [(a, b) for a, b in found if rows[a][2] not in (0, best)])
+    return found or sorted(regions(lengths, surge=1), key=lambda r: -sum(lengths[r[0] : r[1]]))[:1]
+
+
+def main_text(page: str | None) -> str:
+    """The article of a page as one line; empty if there is none."""
     if not page:
         return ""
     for level in (2, 1, 0):
         rows = strip_markup(page, level)
-        inside = [r for r in rows if r[2]]
-        if any(r[0] for r in inside):
-            return " ".join(r[0] for r in inside if r[0])
-        lengths = [r[1] for r in rows]
-        found = regions(lengths) or sorted(regions(lengths, surge=1), key=lambda r: -sum(lengths[r[0] : r[1]]))[:1]
-        text = " ".join(r[0] for a, b in found for r in rows[a:b] if r[0])
+        text = " ".join(r[0] for a, b in _ranges(rows) for r in rows[a:b] if r[0])
         if text:
             return text
     return ""

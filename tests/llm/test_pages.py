@@ -114,3 +114,18 @@ def test_long_unclosed_markup_ends():
 ])
 def test_no_article_text_is_lost(page, text):
     assert html_blocks.main_text(page) == text
+
+
+LINKS = "".join(f"<li><a href='/{i}'>entry {i}</a></li>" for i in range(6))
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<div><p>{LONG}</p><p>{LONG}</p><p>End.</p></div><article><p>Teaser one</p></article><article><p>Teaser two</p></article>", f"{LONG} {LONG} End."),
+    (f"<div><p>{LONG}</p></div><article class='comment'><p>{LONG} {LONG} {LONG}</p></article><p>{LONG}</p>" + f"<p>{LONG}</p>" * 4, " ".join([LONG] * 6)),
+    (f"<main><article><h1><a href='/'>Title</a></h1><p>{LONG}</p></article><article class=comment><p>No.</p></article></main>", f"Title {LONG}"),
+    (f"<article><p>{LONG}</p><ul>{LINKS}</ul><p>Short end.</p></article>", f"{LONG} entry 0 entry 1 Short end."),
+    (f"<article><p>{LONG}</p></article><div><p>{LONG} A text beside it.</p></div>", LONG),
+    (f"<article><ul>{LINKS}</ul></article>", " ".join(f"entry {i}" for i in range(6))),
+])
+def test_windows_run_on_pages_with_articles(page, text):
+    assert html_blocks.main_text(page) == text
