@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import cache
 
 import numpy as np
@@ -21,21 +22,54 @@ LENGTH = 2048
 #: Sequences of one batch of a file, and about the bytes of text of one file.
 BATCH, FILE_BYTES = 256, 64 << 20
 END = 0
+#: Ends a file whose batches can be read by number.
+MAGIC = b"EKBATCH1"
 
 
 @cache
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(path)
+
+
+class LibraryEncoder(TextEncoder):
+    """The library's ids of whole texts, from the ids of their distinct pieces.
+
+    Texts are first cut at the tokenizer's added tokens, as the library does it. Where these strip blanks, want whole
+    words or are matched in normalised text, the texts that hold one go to the library whole.
+    """
+
+    def __init__(self, path: str):
+        self.library = tokenizer = _tokenizer(path)
+        super().__init__(lambda pieces: [e.ids for e in tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)])
+        added = tokenizer.get_added_tokens_decoder()
+        self.added = {t.content: i for i, t in added.items()}
+        self.plain = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values())
+        longest = sorted(self.added, key=len, reverse=True)
+        self.find = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
+
+    def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        if self.find is None or not any(map(self.find.search, texts)):
+            return super().encode(texts)
+        parts = [self.find.split(t) for t in texts]  # text, token, text, ..., text
+        if not self.plain:
+            whole = {i: self.library.encode(texts[i], add_special_tokens=False).ids for i, p in enumerate(parts) if len(p) > 1}
+            flat, before = super().encode(["" if i in whole else t for i, t in enumerate(texts)])
+            every = [np.array(whole[i], np.uint32) if i in whole else flat[before[i] : before[i + 1]] for i in range(len(texts))]
+            return np.concatenate(every), np.concatenate(([0], np.cumsum(list(map(len, every)), dtype=np.int64)))
+        flat, before = super().encode([x for p in parts for x in p[::2]])
+        n_texts = np.array([len(p) // 2 + 1 for p in parts])
+        first = np.concatenate(([0], np.cumsum(n_texts)))  # the first part of each text
+        inner = np.setdiff1d(np.arange(1, first[-1]), first)
+        tokens = [self.added[x] for p in parts for x in p[1::2]]
+        ids = np.insert(flat, before[inner], np.array(tokens, flat.dtype))
+        return ids, before[first] + np.concatenate(([0], np.cumsum(n_texts - 1)))
 
 
 def piece_encoder(path: str) -> TextEncoder:
-    """Whole texts by the library's ids of their distinct pieces; special strings in a text are ordinary text."""
-    tokenizer = _tokenizer(path)
-    return TextEncoder(lambda pieces: [e.ids for e in tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)])
+    """Whole texts as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them."""
+    return LibraryEncoder(path)
 
 
 def file_schema(length: int, dtype: pa.DataType) -> pa.Schema:
@@ -48,7 +82,8 @@ class StreamWriter:
     """Packs documents, each followed by the end id, into sequences of one Arrow stream file.
 
     The file is written under a name of its own try and moved into place when complete, so a repeated or lost task
-    leaves no half file. The last sequence is padded with masked ids.
+    leaves no half file. The last sequence is padded with masked ids. All batches but the last have ``BATCH`` sequences;
+    behind the stream's end mark, where readers of streams do not look, lie the batches' offsets.
     """
 
     def __init__(self, path: str, length: int, dtype: np.dtype, attempt: int):
@@ -62,7 +97,8 @@ class StreamWriter:
         self.parts: list[np.ndarray] = []
         self.held = 0
         self.ends: list[tuple[int | None, int]] = []
-        self.n_ids = 0
+        self.n_ids = self.n_rows = 0
+        self.offsets: list[int] = []
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.parts += [ids.astype(self.dtype), np.array([END], self.dtype)]
@@ -70,7 +106,7 @@ class StreamWriter:
         self.n_ids += len(ids) + 1
         self.ends.append((doc_id, self.held - 1))
         if self.held >= BATCH * self.length:
-            self._flush(self.held // self.length)
+            self._flush(self.held // self.length // BATCH * BATCH)
 
     def _flush(self, rows: int) -> None:
         flat = np.concatenate(self.parts) if self.parts else np.zeros(0, self.dtype)
@@ -88,6 +124,8 @@ class StreamWriter:
                 [pa.array([d for d, _ in mine], pa.int64()), pa.array(places[cut[0] : cut[-1]] % self.length, pa.int32())], ["doc_id", "at"]
             )
             span = slice(a * self.length, b * self.length)
+            self.offsets.append(self.sink.tell())
+            self.n_rows += b - a
             self.out.write_batch(pa.record_batch([
                 pa.FixedSizeListArray.from_arrays(pa.array(ids[span]), self.length),
                 pa.FixedSizeListArray.from_arrays(pa.array(mask[span]), self.length),
@@ -100,25 +138,61 @@ class StreamWriter:
         if self.held:
             self._flush(-(-self.held // self.length))
         self.out.close()
+        self.sink.write(np.array([*self.offsets, self.n_rows, BATCH, len(self.offsets)], "<i8").tobytes() + MAGIC)
         self.sink.close()
         self.fs.move(self.draft, self.path)
 
 
+def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    length = batch.schema.field(0).type.list_size
+    ids = batch.column(0).flatten().to_numpy().reshape(-1, length)
+    mask = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, length)
+    return ids, mask, batch.column(2)
+
+
 class StreamReader:
-    """A file of :class:`StreamWriter` in place: batches are views of the mapped (or streamed) file, not copies."""
+    """A file of :class:`StreamWriter` in place: ids are views of the mapped (or streamed) file; masks are stored as bits
+    and unpacked."""
 
     def __init__(self, path: str):
         system, name = fs.FileSystem.from_uri(path)
-        source = pa.memory_map(name) if isinstance(system, fs.LocalFileSystem) else system.open_input_file(name)
-        self.reader = pa.ipc.open_stream(source)
+        self.open = lambda: pa.memory_map(name) if isinstance(system, fs.LocalFileSystem) else system.open_input_file(name)
+        self.reader = pa.ipc.open_stream(self.open())
+        self.source: pa.NativeFile | None = None
 
     def batches(self) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
         """Ids and masks (sequences by places) and the ends of each batch."""
-        for batch in self.reader:
-            length = batch.schema.field(0).type.list_size
-            ids = batch.column(0).flatten().to_numpy().reshape(-1, length)
-            mask = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, length)
-            yield ids, mask, batch.column(2)
+        yield from map(_arrays, self.reader)
+
+    def _index(self) -> None:
+        """Offsets of the batches, from the end of the file."""
+        self.source = self.open()
+        tail = 24 + len(MAGIC)
+        self.source.seek(self.source.size() - tail)
+        data = self.source.read(tail)
+        if data[24:] != MAGIC:
+            raise ValueError("the file has no offsets of batches")
+        self.n_rows, self.per_batch, n = np.frombuffer(data[:24], "<i8").tolist()
+        self.source.seek(self.source.size() - tail - 8 * n)
+        self.offsets = np.frombuffer(self.source.read(8 * n), "<i8").tolist()
+
+    def __len__(self) -> int:
+        """Sequences of the file."""
+        if self.source is None:
+            self._index()
+        return self.n_rows
+
+    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and mask of sequence ``i``; only its batch is read."""
+        if not 0 <= i < len(self):
+            raise IndexError(f"sequence {i} of {self.n_rows}")
+        k, row = divmod(i, self.per_batch)
+        self.source.seek(self.offsets[k])
+        message = pa.ipc.read_message(self.source)
+        if message.type == "schema":  # lies before the first batch
+            message = pa.ipc.read_message(self.source)
+        ids, mask, _ = _arrays(pa.ipc.read_record_batch(message, self.reader.schema).slice(row, 1))
+        return ids[0], mask[0]
 
     def documents(self) -> Iterator[tuple[int | None, np.ndarray]]:
         """Each document of the file with all its ids and the end id."""

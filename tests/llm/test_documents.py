@@ -226,6 +226,38 @@ def test_token_files_round_trip(spark, tmp_path):
     assert token_files.token_round_trip(spark, frame(spark, []), TOKENIZER).count() == 0
 
 
+def test_token_files_added_tokens_and_access_by_number(spark, tmp_path, monkeypatch):
+    from tokenizers import Tokenizer
+
+    end, tokenizer = "<|endoftext|>", Tokenizer.from_file(TOKENIZER)
+    rows = [(1, f"a {end} b"), (2, end), (3, end + end + " x"), (4, "plain"), (5, f"tail{end}"), (6, "<|endoftext|"), (7, "")]
+    rows += [(20 + i, t.replace("!", end)) for i, t in enumerate(texts()[:100])]
+    encoder = token_files.piece_encoder(TOKENIZER)
+    for plain in (True, False):
+        encoder.plain = plain
+        ids, before = encoder.encode([t for _, t in rows])
+        for i, (_, t) in enumerate(rows):
+            assert ids[before[i] : before[i + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    files = token_files.write_token_files(frame(spark, rows), TOKENIZER, f"file://{tmp_path}/out", length=16)
+    got = {r.doc_id: r.n_tokens for r in token_files.read_token_files(files, token_files.ids_crc32, "ids_crc32 long").collect()}
+    assert got == {d: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for d, t in rows}
+
+    monkeypatch.setattr(token_files, "BATCH", 4)
+    path = f"file://{tmp_path}/own/part.arrow"
+    writer = token_files.StreamWriter(path, 8, np.dtype(np.uint16), 0)
+    for n in (3, 100, 0, 9, 70):
+        writer.add(n, np.arange(n))
+    writer.close()
+    every = [(i, m) for ids, mask, _ in token_files.StreamReader(path).batches() for i, m in zip(ids.tolist(), mask.tolist())]
+    reader = token_files.StreamReader(path)
+    assert len(reader) == len(every) > 8
+    for i in reversed(range(len(every))):
+        ids, mask = reader.sequence(i)
+        assert (ids.tolist(), mask.tolist()) == every[i]
+    with pytest.raises(IndexError):
+        reader.sequence(len(every))
+
+
 # -- shards
 
 
