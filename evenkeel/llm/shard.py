@@ -41,9 +41,25 @@ def _hypergeometric(rng: np.random.Generator, good: int, bad: int, sample: int)
         return sample
     if good + bad < 1_000_000_000:  # the generator's own bound
         return int(rng.hypergeometric(good, bad, sample))
-    mean = sample * good / (good + bad)  # beyond it the normal law is exact to the digits of a double
-    spread = (mean * bad / (good + bad) * (good + bad - sample) / max(1, good + bad - 1)) ** 0.5
-    return int(min(good, sample, max(0, sample - bad, round(rng.normal(mean, spread)))))
+    return _inverted(rng, good, bad, sample)
+
+
+def _inverted(rng: np.random.Generator, good: int, bad: int, sample: int) -> int:
+    """A hypergeometric draw by inversion: weights relative to the mode's, by the ratios of neighbours.
+
+    Weights beyond 40 deviations and 200 values from the mode are under the least double.
+    """
+    low, high = max(0, sample - bad), min(good, sample)
+    mode = min(high, max(low, (sample + 1) * (good + 1) // (good + bad + 2)))
+    variance = sample * good / (good + bad) * bad / (good + bad) * (good + bad - sample) / (good + bad - 1)
+    reach = int(40 * variance**0.5) + 200
+    up = np.arange(mode, min(high, mode + reach), dtype=np.float64)
+    down = np.arange(mode, max(low, mode - reach), -1, dtype=np.float64)
+    above = np.cumprod((good - up) / (up + 1) * ((sample - up) / (bad - sample + up + 1)))
+    below = np.cumprod(down / (good - down + 1) * ((bad - sample + down) / (sample - down + 1)))
+    sums = np.cumsum(np.concatenate([below[::-1], [1.0], above]))
+    at = int(np.searchsorted(sums, rng.random() * sums[-1], side="right"))
+    return mode - len(below) + min(at, len(sums) - 1)
 
 
 def uniform_shards(docs: DataFrame, key: list[Column], shards: int = SHARDS, seed: int = 11) -> DataFrame:

@@ -267,6 +267,15 @@ def test_shard_matrix_is_exact():
     assert m.sum(axis=1).tolist() == counts and sorted(m.sum(axis=0).tolist()) == [17] * 4 + [18] * 2 + [19] or m.sum(axis=0).max() - m.sum(axis=0).min() <= 1
 
 
+def test_shard_draw_keeps_its_law_on_large_input():
+    rng = np.random.default_rng(1)
+    ones = sum(shard._hypergeometric(rng, 1, 2_000_000_000, 20_000_000) for _ in range(20_000))
+    assert 130 < ones < 270  # 200 expected
+    few = np.array([shard._inverted(rng, 5, 7, 6) for _ in range(20_000)])
+    assert np.abs(np.bincount(few, minlength=6) / 20_000 - np.array([7, 105, 350, 350, 105, 7]) / 924).max() < 0.015
+    assert sum(draw_row := shard.draw_matrix([3_000_000_000, 10**6], 24, 5)[1].tolist()) == 10**6 and min(draw_row) > 40_000
+
+
 def test_shard_sizes_slots_and_repeats(spark):
     rows = [(i, "same" if i % 3 else f"t{i}") for i in range(500)] + [(None, None), (7, ""), (7, "")]
     got = shard.shard_documents(frame(spark, rows), shards=24).collect()
