@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evenkeel.functions.ratios import INF
 from evenkeel.functions.recode import to_number
+from evenkeel.operators.lineage import cut_lineage
 from evenkeel.operators.ordering import column_quantiles, take_per_group
 from evenkeel.roles import numeric_columns
 
-#: One-hot encoding refuses columns with more categories than this.
+#: Columns with more categories than this are encoded as one sparse vector, unless the caller sets another limit.
 MAX_CATEGORIES = 10_000
 
 
@@ -57,25 +60,48 @@ def text_columns(df: DataFrame, *exclude: str) -> list[str]:
     ]
 
 
+def _pairs(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Distinct ``name, value`` of all columns, in one pass over the rows."""
+    return df.select(*columns).unpivot([], columns, "name", "value").filter(F.col("value").isNotNull()).distinct()
+
+
 def categories(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
-    """Sorted distinct values of every column, in one pass over the rows."""
-    if not columns:
-        return {}
-    pairs = (
-        df.select(*columns)
-        .unpivot([], columns, "name", "value")
-        .filter(F.col("value").isNotNull())
-        .distinct()
-    )
-    found = pairs.limit(MAX_CATEGORIES * len(columns) + 1).collect()
+    """Sorted distinct values of every column, on the driver."""
     values: dict[str, list[str]] = {c: [] for c in columns}
-    for r in found:
+    for r in _pairs(df, columns).collect() if columns else []:
         values[r["name"]].append(r["value"])
-    for name, vals in values.items():
-        if len(vals) > MAX_CATEGORIES or len(found) > MAX_CATEGORIES * len(columns):
-            raise ValueError(f"column {name!r} has too many categories to one-hot encode")
-        vals.sort()
-    return values
+    return {c: sorted(v) for c, v in values.items()}
+
+
+def one_hot_vector(df: DataFrame, columns: list[str], out: str = "encoded") -> DataFrame:
+    """Replace text columns by one sparse vector: a place per category but the first of each column, in order.
+
+    The places are a table: ranges of values are numbered apart and their sizes summed, so neither the driver nor one
+    task holds all values. NULL has no place.
+    """
+    number = F.create_map(*[F.lit(x) for i, c in enumerate(columns) for x in (c, i)])[F.col("name")]
+    parts = _pairs(df, columns).select(number.alias("__c"), "value").repartitionByRange("__c", "value")
+    parts = cut_lineage(parts.withColumn("__part", F.spark_partition_id()))
+    before, total = {}, 0
+    for part, n in sorted(parts.groupBy("__part").count().collect()):  # one number a range
+        before[part], total = total, total + n
+    firsts = {r["__c"]: r["v"] for r in parts.groupBy("__c").agg(F.min("value").alias("v")).collect()}
+    shown = sum(1 for _ in firsts)
+    starts = df.sparkSession.createDataFrame(list(before.items()), "__part int, __before long")
+    place = F.col("__before") + F.row_number().over(W.partitionBy("__part").orderBy("__c", "value")) - 1
+    places = cut_lineage(parts.join(F.broadcast(starts), "__part").select("__c", "value", place.alias("__at")))
+    rows = df
+    for i, c in enumerate(columns):
+        skipped = sum(1 for k in firsts if k <= i)
+        mine = places.filter((F.col("__c") == i) & (F.col("value") != F.lit(firsts.get(i))))
+        mine = mine.select(F.col("value").alias(f"__v{i}"), (F.col("__at") - skipped).cast("int").alias(f"__at{i}"))
+        rows = rows.join(mine, F.col(f"`{c}`") == F.col(f"__v{i}"), "left")
+    at = F.array_compact(F.array(*[f"__at{i}" for i in range(len(columns))]))
+    sparse = F.struct(
+        F.lit(0).alias("type"), F.lit(total - shown).alias("size"), at.alias("indices"), F.transform(at, lambda x: F.lit(1.0)).alias("values")
+    )
+    read = F.from_json(F.to_json(F.struct(sparse.alias("v"))), T.StructType([T.StructField("v", VectorUDT())]))["v"]
+    return rows.select(*[f"`{c}`" for c in df.columns if c not in columns], read.alias(out))
 
 
 def dummy_columns(name: str, values: list[str]) -> dict[str, Column]:
@@ -85,12 +111,18 @@ def dummy_columns(name: str, values: list[str]) -> dict[str, Column]:
     }
 
 
-def one_hot(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Replace text columns by their dummies, appended after the other columns."""
-    values = categories(df, columns)
-    dummies = {k: v for c in columns for k, v in dummy_columns(c, values[c]).items()}
-    rest = [F.col(c) for c in df.columns if c not in columns]
-    return df.select(*rest, *[v.alias(k) for k, v in dummies.items()])
+def one_hot(df: DataFrame, columns: list[str], limit: int = MAX_CATEGORIES) -> DataFrame:
+    """Replace text columns by their dummies, appended after the other columns.
+
+    Columns of more than ``limit`` categories become one sparse vector, ``encoded``, at the end.
+    """
+    sizes = dict(_pairs(df, columns).groupBy("name").count().collect()) if columns else {}
+    many = [c for c in columns if sizes.get(c, 0) > limit]
+    values = categories(df, [c for c in columns if c not in many])
+    dummies = {k: v for c in values for k, v in dummy_columns(c, values[c]).items()}
+    rest = [F.col(c) for c in df.columns if c not in values]
+    wide = df.select(*rest, *[v.alias(k) for k, v in dummies.items()])
+    return one_hot_vector(wide, many) if many else wide
 
 
 def median_impute(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -103,10 +135,10 @@ def median_impute(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns(filled) if filled else df
 
 
-def encode_and_impute(df: DataFrame, row_id: str, protected: str | None = None) -> DataFrame:
+def encode_and_impute(df: DataFrame, row_id: str, protected: str | None = None, limit: int = MAX_CATEGORIES) -> DataFrame:
     """One-hot text columns and impute numeric ones; the protected column is kept, last."""
     kept = [c for c in (protected,) if c and c in df.columns]
-    encoded = one_hot(df, text_columns(df, row_id, *kept))
+    encoded = one_hot(df, text_columns(df, row_id, *kept), limit)
     filled = median_impute(encoded, numeric_columns(encoded, row_id, *kept))
     return filled.select(*[c for c in filled.columns if c not in kept], *kept)
 
@@ -189,6 +221,7 @@ def prepare_model(
     protected: str | None = None,
     binarize: bool = True,
     mode: str = "sorted",
+    limit: int = MAX_CATEGORIES,
 ) -> DataFrame:
     """Clean, binarise the label, encode text and impute: a numeric, model-ready table.
 
@@ -199,7 +232,7 @@ def prepare_model(
         ready = binarize_target(ready, target, row_id, mode=mode)
         if ready.schema[target].dataType.typeName() == "string" and ready.select(target).distinct().limit(3).count() > 2:
             raise ValueError(f"label {target!r} is text of more than two values")
-    return encode_and_impute(ready, row_id, protected)
+    return encode_and_impute(ready, row_id, protected, limit)
 
 
 # ------------------------------------------------------------------------------ checks

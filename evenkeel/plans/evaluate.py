@@ -15,6 +15,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,7 +70,7 @@ def feature_columns(df: DataFrame, *exclude: str) -> list[str]:
     return [
         f.name
         for f in df.schema.fields
-        if f.name not in exclude and (f.name in numeric or isinstance(f.dataType, T.BooleanType))
+        if f.name not in exclude and (f.name in numeric or isinstance(f.dataType, (T.BooleanType, VectorUDT)))
     ]
 
 
@@ -80,7 +81,8 @@ def booleans_to_numbers(df: DataFrame) -> DataFrame:
 
 def assemble(df: DataFrame, features: list[str]) -> DataFrame:
     """Add the ``features`` vector; any column name works, also one with dots."""
-    plain = {f"__f{i}": F.col(f"`{c}`").cast("double") for i, c in enumerate(features)}
+    kind = {f.name: f.dataType for f in df.schema.fields}
+    plain = {f"__f{i}": F.col(f"`{c}`") if isinstance(kind[c], VectorUDT) else F.col(f"`{c}`").cast("double") for i, c in enumerate(features)}
     ready = df.withColumns(plain) if plain else df
     return VectorAssembler(inputCols=list(plain), outputCol="features").transform(ready).drop(*plain)
 
