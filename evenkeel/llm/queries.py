@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evenkeel.llm import bpe, chosen_path, decontaminate, html_blocks, pii, quality, shard, suffix, token_files, warc
+from evenkeel.llm import bpe, chosen_path, decontaminate, dialogue, html_blocks, lexicon, pii, quality, shard, suffix, token_files, warc
 from evenkeel.llm.shared import table
 
 RANKS, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
@@ -54,6 +54,16 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op12_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents through a lexicon of their frequent words, and what they decode to."""
+    return lexicon.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of all conversations, after the damage of the test."""
+    return dialogue.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_pii": op2_pii,
@@ -65,5 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_shard": op8_shard,
     "op9_suffix": op9_suffix,
     "op10_html": op10_html,
+    "op12_transducer": op12_transducer,
+    "op13_repair": op13_repair,
 }
 SQL: dict[str, str] = {"op1_warc": warc.SQL, "op4_quality": quality.SQL}
