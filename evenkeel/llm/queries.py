@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evenkeel.llm import bpe, chosen_path, decontaminate, dialogue, html_blocks, lexicon, pii, quality, shard, suffix, token_files, warc
+from evenkeel.llm import bpe, chosen_path, decontaminate, dialogue, html_blocks, lexicon, phrases, pii, quality, shard, suffix, token_files, warc
 from evenkeel.llm.shared import table
 
 RANKS, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
@@ -54,6 +54,11 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of each language of all documents."""
+    return phrases.top_phrases(table(spark, sf_dir, "documents"))
+
+
 def op12_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents through a lexicon of their frequent words, and what they decode to."""
     return lexicon.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_shard": op8_shard,
     "op9_suffix": op9_suffix,
     "op10_html": op10_html,
+    "op11_phrases": op11_phrases,
     "op12_transducer": op12_transducer,
     "op13_repair": op13_repair,
 }
