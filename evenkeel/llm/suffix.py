@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.llm.shared import remove, shared_folder, written
-from evenkeel.llm.textwords import Rolling, U, mix
+from evenkeel.llm.textwords import VISIBLE, Rolling, U, Words, mix
 
 #: Bytes of text handled at once, unless one text alone is longer; a task needs about 150 times as many.
 CHUNK_BYTES = 1_000_000
@@ -27,22 +27,29 @@ MAX_GROUP = 50_000
 @dataclass(frozen=True)
 class Plan:
     """``length``: bytes of a repeated string. ``gram``: bytes that the anchors of the suffixes are chosen by.
-    ``batches``: parts in which documents enter the index."""
+    ``batches``: parts in which documents enter the index. ``words``: both lengths, and all places, are in words (A-Z lowered)
+    instead of bytes. ``others``: only strings that stand in another document, too."""
 
     length: int = 400
     gram: int = 160
     batches: int = 4
+    words: bool = False
+    others: bool = False
+
+
+#: Passages of 50 words that documents share with other ones.
+PASSAGES = Plan(length=50, gram=16, batches=1, words=True, others=True)
 
 
 @dataclass
 class Anchors:
-    """Sampled suffixes of some texts: every string of ``length`` bytes has one, at an offset its own bytes decide.
+    """Sampled suffixes of some texts: every string of ``length`` bytes (or words) has one, at an offset its own bytes decide.
 
-    ``text``: which text, ``low``/``high``: first and last start of the strings that choose the anchor (global),
+    ``data``: bytes, or hashes of words. ``text``: which text, ``low``/``high``: first and last start of the strings that choose the anchor (global),
     ``at``: the anchor, ``gram``: fingerprint of its first bytes, ``hull``: of all bytes of those strings.
     """
 
-    data: bytes
+    data: np.ndarray
     starts: np.ndarray
     text: np.ndarray
     low: np.ndarray
@@ -64,14 +71,18 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 def find_anchors(encoded: list[bytes], plan: Plan) -> Anchors:
     """The anchor of a string is the place of its smallest fingerprint of ``gram`` bytes, the leftmost of equals."""
-    data = b"".join(encoded)
-    sizes = np.array([len(e) for e in encoded], np.int64)
-    starts = np.concatenate(([0], np.cumsum(sizes)))
+    if plan.words:
+        words = Words(encoded, VISIBLE)
+        data, starts = words.hashes, words.first.astype(np.int64)
+    else:
+        data = np.frombuffer(b"".join(encoded), np.uint8)
+        starts = np.cumsum([0, *map(len, encoded)], dtype=np.int64)
+    sizes = np.diff(starts)
     n, k = len(data), plan.gram
     none = np.zeros(0, np.int64)
     if n < plan.length:
         return Anchors(data, starts, none, none, none, none, none.astype(U), none.astype(U))
-    roll = Rolling(np.frombuffer(data, np.uint8))
+    roll = Rolling(data)
     with np.errstate(over="ignore"):
         grams = mix((roll.sums[k:] - roll.sums[:-k]) * roll.inverse[: n - k + 1])
     key = (grams & U(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=U)
@@ -114,7 +125,10 @@ def batch_suffixes(docs: DataFrame, plan: Plan) -> DataFrame:
             parts = batch.column(1).to_numpy()
             for a, b, encoded in _pieces(batch, 0):
                 x = find_anchors(encoded, plan)
-                order = np.lexsort((x.hull, x.gram, parts[a:b][x.text]))
+                order = np.lexsort((x.text, x.hull, x.gram, parts[a:b][x.text]))
+                if plan.others and len(order):  # one of the equal suffixes of a text
+                    text, gram, hull = x.text[order], x.gram[order], x.hull[order]
+                    order = order[np.concatenate(([True], (text[1:] != text[:-1]) | (gram[1:] != gram[:-1]) | (hull[1:] != hull[:-1])))]
                 part, gram, hull = parts[a:b][x.text][order], x.gram[order], x.hull[order]
                 new = np.concatenate(([True], (part[1:] != part[:-1]) | (gram[1:] != gram[:-1]) | (hull[1:] != hull[:-1])))[: len(gram)]
                 at = np.flatnonzero(new)
@@ -237,7 +251,7 @@ def wanted_suffixes(docs: DataFrame, matched: DataFrame, plan: Plan) -> DataFram
                     name = (int(x.gram[j]), int(x.hull[j]))
                     if name not in sent:
                         sent.add(name)
-                        contexts[i] = x.data[x.low[j] : x.high[j] + plan.length]
+                        contexts[i] = x.data[x.low[j] : x.high[j] + plan.length].tobytes()
                 if len(sent) > MAX_SENT:
                     sent.clear()
                 text = x.text[pick]
@@ -253,14 +267,15 @@ def wanted_suffixes(docs: DataFrame, matched: DataFrame, plan: Plan) -> DataFram
     )
 
 
-def _strings(contexts: list[bytes], counts: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _strings(contexts: list[bytes], counts: np.ndarray, offsets: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For every string of every context: its context, its number there, and its fingerprint with its anchor's place."""
-    roll = Rolling(np.frombuffer(b"".join(contexts), np.uint8))
-    begin = np.cumsum([0, *map(len, contexts)])[:-1]
+    kind = np.dtype(U if plan.words else np.uint8)
+    roll = Rolling(np.frombuffer(b"".join(contexts), kind))
+    begin = np.cumsum([0, *map(len, contexts)])[:-1] // kind.itemsize
     own = np.repeat(np.arange(len(contexts)), counts)
     i = np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)
     start = begin[own] + i
-    return own, i, mix(roll.of(start, start + length) ^ mix((offsets[own] - i).astype(U)))
+    return own, i, mix(roll.of(start, start + plan.length) ^ mix((offsets[own] - i).astype(U)))
 
 
 def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -273,9 +288,9 @@ _RUN_TYPE = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
 def compare_contexts(contexts: DataFrame, plan: Plan) -> DataFrame:
-    """``gram, hull, runs``: which strings of a context also stand in another one of its prefix.
+    """``gram, hull, runs``: which strings of a context also stand in another one of its prefix, of another owner.
 
-    Rows ``gram, hull, count, offset, context`` are different suffixes. A group is held by one task up to MAX_GROUP
+    Rows ``gram, hull, owner, count, offset, context`` are different suffixes. A group is held by one task up to MAX_GROUP
     contexts; those of larger groups are counted as rows instead.
     """
     sizes = contexts.groupBy("gram").agg(F.count("*").alias("size")).where("size > 1")
@@ -288,13 +303,15 @@ def compare_contexts(contexts: DataFrame, plan: Plan) -> DataFrame:
             table = table.combine_chunks()
             keys = table.column("gram").to_numpy()
             counts, offsets = table.column("count").to_numpy().astype(np.int64), table.column("offset").to_numpy().astype(np.int64)
-            own, _, prints = _strings(table.column("context").to_pylist(), counts, offsets, plan.length)
+            own, _, prints = _strings(table.column("context").to_pylist(), counts, offsets, plan)
             group = np.cumsum(np.concatenate(([0], keys[1:] != keys[:-1])))
-            order = np.lexsort((prints, group[own]))
-            p, g = prints[order], group[own][order]
-            same = (p[1:] == p[:-1]) & (g[1:] == g[:-1])
+            owner = table.column("owner").to_numpy()[own]
+            order = np.lexsort((owner, prints, group[own]))
+            p, g, owner = prints[order], group[own][order], owner[order]
+            begin = np.flatnonzero(np.concatenate(([True], (p[1:] != p[:-1]) | (g[1:] != g[:-1]))))
+            end = np.concatenate((begin[1:], [len(p)]))
             flags = np.zeros(len(own), bool)
-            flags[order[1:][same]] = flags[order[:-1][same]] = True
+            flags[order] = np.repeat(owner[begin] != owner[end - 1], end - begin)
             ends = np.cumsum(counts)
             hit = np.add.reduceat(flags, ends - counts) > 0
             at = np.flatnonzero(hit)
@@ -321,7 +338,7 @@ def compare_contexts(contexts: DataFrame, plan: Plan) -> DataFrame:
             yield from done(pa.Table.from_batches(held))
 
     small = rows.where(F.col("size") <= MAX_GROUP).repartition("gram").sortWithinPartitions("gram")
-    out = small.select("gram", "hull", "count", "offset", "context").mapInArrow(run, _RUNS)
+    out = small.select("gram", "hull", "count", "offset", "context", "owner").mapInArrow(run, _RUNS)
     large = rows.where(F.col("size") > MAX_GROUP)
     if large.isEmpty():
         return out
@@ -329,15 +346,15 @@ def compare_contexts(contexts: DataFrame, plan: Plan) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, offsets = batch.column(2).to_numpy().astype(np.int64), batch.column(3).to_numpy().astype(np.int64)
-            own, i, prints = _strings(batch.column(4).to_pylist(), counts, offsets, plan.length)
+            own, i, prints = _strings(batch.column(4).to_pylist(), counts, offsets, plan)
             own = pa.array(own)
             yield pa.record_batch(
-                [batch.column(0).take(own), batch.column(1).take(own), pa.array(i.astype(np.int32)), pa.array(prints.view(np.int64))],
-                ["gram", "hull", "i", "print"],
+                [batch.column(0).take(own), batch.column(1).take(own), pa.array(i.astype(np.int32)), pa.array(prints.view(np.int64)), batch.column(5).take(own)],
+                ["gram", "hull", "i", "print", "owner"],
             )
 
-    strings = large.select("gram", "hull", "count", "offset", "context").mapInArrow(each, "gram long, hull long, i int, print long")
-    often = strings.groupBy("gram", "print").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    strings = large.select("gram", "hull", "count", "offset", "context", "owner").mapInArrow(each, "gram long, hull long, i int, print long, owner long")
+    often = strings.groupBy("gram", "print").agg((F.min("owner") != F.max("owner")).alias("other")).where("other").drop("other")
     one = F.struct(F.col("i").alias("a"), (F.col("i") + 1).alias("b"))
     more = strings.join(often, ["gram", "print"]).groupBy("gram", "hull").agg(F.collect_list(one).alias("runs"))  # a context's strings
     return out.unionByName(more)
@@ -346,8 +363,8 @@ def compare_contexts(contexts: DataFrame, plan: Plan) -> DataFrame:
 def repeated_spans(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """``doc_id, mark, spans`` for the documents with repeated bytes; ``docs`` has doc_id, mark and text (not null).
 
-    ``spans`` are maximal runs (start, stop) of bytes covered by strings of ``plan.length`` bytes that start at another
-    place too, in the same or another document.
+    ``spans`` are runs (start, stop) of bytes covered by strings of ``plan.length`` bytes that start at another place too, in
+    the same or another document (``plan.others``: in another one); they may overlap. With ``plan.words``, all in words.
     """
     spark = docs.sparkSession
     part = F.pmod(F.xxhash64("doc_id", "mark"), F.lit(plan.batches)).cast("int")
@@ -364,20 +381,26 @@ def repeated_spans(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     places = wanted_suffixes(docs, matched, plan)
     places.write.parquet(places_path)
     places = spark.read.schema(places.schema).parquet(places_path)
+    places_n = F.count("*") if plan.others else F.sum("n")
     kinds = places.groupBy("gram", "hull").agg(
-        F.sum("n").alias("n"), F.first("count").alias("count"), F.first("offset").alias("offset"), F.max("context").alias("context")
+        places_n.alias("n"), F.first("count").alias("count"), F.first("offset").alias("offset"), F.max("context").alias("context"),
+        F.first(F.xxhash64("doc_id", "mark")).alias("doc"),
     )
+    owner = F.when(F.col("n") == 1, F.col("doc")).otherwise(F.col("hull")) if plan.others else F.col("hull")
     full = kinds.where("n > 1").select("gram", "hull", F.lit(None).cast("array<struct<a:int,b:int>>").alias("runs"))
     several = kinds.where(F.col("context").isNotNull())
-    partly = compare_contexts(several.select("gram", "hull", "count", "offset", "context"), plan)
+    partly = compare_contexts(several.select("gram", "hull", "count", "offset", "context", owner.alias("owner")), plan)
     partly = partly.join(kinds.where("n = 1").select("gram", "hull"), ["gram", "hull"], "left_semi")
     status = full.unionByName(partly)
-    low = F.get("starts", F.lit(0))["a"]  # a suffix found once has one run of starts
-    some = F.transform("runs", lambda r: F.struct((low + r["a"]).alias("a"), (low + r["b"]).alias("b")))
+    shifted = lambda low: F.transform("runs", lambda r: F.struct((low + r["a"]).alias("a"), (low + r["b"]).alias("b")))
+    equal = lambda s: F.sequence(F.lit(0).cast("long"), F.floor((s["b"] - s["a"]) / F.col("count")) - 1)
+    some = F.flatten(F.transform("starts", lambda s: F.flatten(F.transform(equal(s), lambda j: shifted(s["a"] + j * F.col("count"))))))
     covered = lambda r: F.struct(r["a"].alias("start"), (r["b"] - 1 + plan.length).alias("stop"))
     span = F.transform(F.when(F.col("runs").isNull(), F.col("starts")).otherwise(some), covered)
-    hits = places.select("doc_id", "mark", "gram", "hull", "starts").join(status, ["gram", "hull"])
-    return hits.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list(span)).alias("spans"))  # a document's own spans
+    hits = places.select("doc_id", "mark", "gram", "hull", "starts", "count").join(status, ["gram", "hull"])
+    spans = written(hits.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list(span)).alias("spans")), "spans")  # a document's own
+    remove(spark, places_path)
+    return spans
 
 
 def _union(spans: list[dict]) -> list[tuple[int, int]]:
@@ -390,29 +413,36 @@ def _union(spans: list[dict]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` (the bytes that stay) of every document.
+def remove_repeats(docs: DataFrame, plan: Plan = Plan(), passages: Plan = PASSAGES) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_words, kept`` (the bytes that stay) of every document.
 
     Every byte covered by a string of ``plan.length`` bytes that starts anywhere else too is removed, in all its places;
-    strings are judged on the input. A null text is empty; texts shorter than the length keep all. Rows that repeat id
-    and text repeat each other. An empty table gives an empty one. Other columns are ignored.
+    strings are judged on the input. ``n_passage_words`` only reports: words inside passages of ``passages.length`` words
+    that another document has, too, shorter than such a string or not. A null text is empty; texts shorter than the
+    length keep all. Rows that repeat id and text repeat each other. An empty table gives an empty one. Other columns are
+    ignored.
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    spans = repeated_spans(rows, plan).withColumnsRenamed({"doc_id": "__id", "mark": "__mark"})
-    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark"))
+    key = [F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__none"), F.col("mark").alias("__mark")]
+    on = ["__id", "__none", "__mark"]
+    spans = repeated_spans(rows, plan).select(*key, "spans")
+    both = spans.join(repeated_spans(rows, passages).select(*key, F.col("spans").alias("passages")), on, "full")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, text, spans in zip(*[c.to_pylist() for c in batch.columns]):
+            for doc, text, spans, passages in zip(*[c.to_pylist() for c in batch.columns]):
                 data, gone = text.encode(), _union(spans or [])
                 cuts = [0, *[x for s in gone for x in s], len(data)]
                 kept = b"".join([data[a:b] for a, b in zip(cuts[::2], cuts[1::2])])
-                out.append((doc, len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept))
-            kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+                shared = sum(b - a for a, b in _union(passages or []))
+                out.append((doc, len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), shared, kept))
+            kinds = [pa.int64()] * 4 + [pa.string(), pa.int64(), pa.binary()]
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words", "kept"]
             yield pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names)
 
-    joined = rows.join(spans, on, "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    joined = rows.select("doc_id", "text", *key).join(both, on, "left").select("doc_id", "text", "spans", "passages")
+    return joined.mapInArrow(
+        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long, kept binary"
+    )

@@ -33,7 +33,10 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Polynomial hashes of ranges of a sequence: equal ranges hash alike wherever they stand."""
+    """Polynomial hashes of ranges of a sequence: equal ranges hash alike wherever they stand.
+
+    Modulo 2^64, strings built for it (from about 1,024 symbols on) can collide; other different ranges do so by chance only.
+    """
 
     def __init__(self, values: np.ndarray):
         n = len(values)
@@ -51,8 +54,8 @@ class Words:
     """The words of some texts: ``starts`` and ``stops`` in ``data`` (lower-cased), ``first`` word of each text (with
     the end), ``hashes``. ``is_word`` says for each byte whether it belongs to words; a line feed must not."""
 
-    def __init__(self, texts: Sequence[str | None], is_word: np.ndarray):
-        encoded = [(t or "").encode() for t in texts]
+    def __init__(self, texts: Sequence[str | bytes | None], is_word: np.ndarray):
+        encoded = [t if isinstance(t, bytes) else (t or "").encode() for t in texts]
         joined = np.frombuffer(b"\n".join(encoded) + b"\n", np.uint8)
         lower = joined + np.uint8(32) * ((joined >= 65) & (joined <= 90)).astype(np.uint8)
         inside = np.zeros(len(lower) + 1, np.int8)

@@ -154,7 +154,7 @@ def test_suffix_equals_brute_force(spark, monkeypatch):
     expected = brute.repeats(rows, 20)
     for group in (50_000, 5):
         monkeypatch.setattr(suffix, "MAX_GROUP", group)
-        got = suffix.remove_repeats(frame(spark, rows), suffix.Plan(20, 8, 3)).drop("kept").collect()
+        got = suffix.remove_repeats(frame(spark, rows), suffix.Plan(20, 8, 3)).drop("kept", "n_passage_words").collect()
         assert {r.doc_id: tuple(r) for r in got} == expected
 
 
