@@ -241,7 +241,7 @@ PRACTICES: dict[str, Callable[[DataFrame, Roles], DataFrame]] = {
 }
 
 #: Practices whose result is written to the checkpoint folder inside a longer list.
-_CUT_AFTER = {"stratified_sampling", "oversampling", "undersampling", "clustering"}
+CUT_AFTER = {"stratified_sampling", "oversampling", "undersampling", "clustering"}
 
 
 def apply_practice(df: DataFrame, name: str, roles: Roles) -> DataFrame:
@@ -257,6 +257,6 @@ def apply_practices(
     steps = [names] if isinstance(names, str) and names else list(names or [])
     for i, name in enumerate(steps):
         df = apply_practice(df, name, roles)
-        if name in _CUT_AFTER and i + 1 < len(steps):
+        if name in CUT_AFTER and i + 1 < len(steps):
             df = cut_lineage(df)
     return df

@@ -1,19 +1,21 @@
-"""Cross-validated evaluation of practice lists and mitigation methods with pyspark.ml."""
+"""Cross-validated evaluation of practice lists and mitigation methods.
+
+What several models share is made once: practices with a common beginning, preparation, folds and mitigated training parts.
+Boosted models of all folds are trained together; the models of ``pyspark.ml`` are fitted side by side.
+"""
 
 from __future__ import annotations
 
+import math
 import time
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LinearSVC,
-    LogisticRegression,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.functions import vector_to_array
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evenkeel.operators.clean import prepare_model, require_finite
+from evenkeel.operators.clean import NonFiniteError, prepare_model, require_finite
 from evenkeel.operators.folds import FOLDS, kfold, stratified_kfold
 from evenkeel.operators.groups import coerce_labels, privileged
 from evenkeel.operators.joins import keyed_join
@@ -36,18 +38,22 @@ from evenkeel.operators.metrics import (
     score_minmax,
 )
 from evenkeel.operators.mitigation import mitigate
-from evenkeel.operators.practices import apply_practices
+from evenkeel.operators.practices import CUT_AFTER, apply_practice
+from evenkeel.plans import boosting
 from evenkeel.roles import INFEASIBLE, Roles, numeric_columns
 
 SEED = 42
 #: Models that give probabilities; the others give unbounded decision values.
 PROBABILISTIC = {"lr", "rf", "xgb"}
 
+#: Fits that run side by side, and training rows of one task of a fit.
+SIDE_BY_SIDE, TASK_ROWS = 8, 50_000
+
 RESULT_SCHEMA = "fitness double, fairness_score double, performance_score double"
 
 
 def build_classifier(model: str, n_rows: float, weight: str | None = None):
-    """A fresh estimator by identifier; ``n_rows`` turns unit penalties into Spark's scale."""
+    """A fresh estimator by identifier; ``n_rows`` turns unit penalties into Spark's scale. (``xgb``: see ``BOOSTED``.)"""
     common = {"featuresCol": "features", "labelCol": "y"}
     if weight:
         common["weightCol"] = weight
@@ -56,11 +62,9 @@ def build_classifier(model: str, n_rows: float, weight: str | None = None):
     if model == "lr":
         return LogisticRegression(maxIter=1000, regParam=penalty, standardization=False, **common)
     if model == "rf":
-        return RandomForestClassifier(numTrees=100, maxDepth=12, seed=SEED, **common)
+        return RandomForestClassifier(numTrees=100, maxDepth=12, seed=SEED, cacheNodeIds=True, maxMemoryInMB=1024, **common)
     if model == "svc":
         return LinearSVC(maxIter=10_000, tol=1e-4, regParam=penalty, **common)
-    if model == "xgb":
-        return GBTClassifier(maxIter=100, maxDepth=6, stepSize=0.3, seed=SEED, **common)
     raise ValueError(f"unknown model identifier: {model}")
 
 
@@ -87,52 +91,136 @@ def assemble(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(plain), outputCol="features").transform(ready).drop(*plain)
 
 
-def run_folds(spark: SparkSession, step: Callable[[int], DataFrame | None], k: int) -> list:
-    """Run the k independent fold jobs side by side, as pyspark.ml does for its own folds."""
-    with ThreadPool(k) as pool:
-        return pool.map(inheritable_thread_target(spark)(step), range(k))
+#: The boosted model of the study: 100 trees of depth 6 with a step of 0.3.
+BOOSTED = boosting.Plan(trees=100, depth=6, rate=0.3)
 
 
-def fit_predict(
-    train: DataFrame, test: DataFrame, model: str, weight: str | None = None
-) -> DataFrame | None:
-    """Predictions of a fresh model on ``test``: adds ``raw`` (score) and ``pred``.
+@dataclass(frozen=True)
+class Part:
+    """One fit: training rows (``y``, ``features`` and possibly a weight column) and the rows to predict."""
 
-    None when the training labels do not hold two classes.
-    """
-    size = train.agg(
-        F.sum(F.col(weight) if weight else F.lit(1.0)).alias("n"),
-        F.count_distinct("y").alias("classes"),
-    ).first()
-    if size["classes"] < 2:
-        return None
-    fitted = build_classifier(model, size["n"], weight).fit(train)
-    scored = fitted.transform(test)
+    train: DataFrame
+    test: DataFrame
+    weight: str | None = None
+
+
+def side_by_side(spark: SparkSession, step: Callable, tasks: list) -> list:
+    """Results of independent driver steps, a few at a time, as pyspark.ml does for its own folds; errors are results."""
+
+    def run(task):
+        try:
+            return step(task)
+        except Exception as e:  # noqa: BLE001 - the caller raises or records it
+            return e
+
+    if not tasks:
+        return []
+    with ThreadPool(min(SIDE_BY_SIDE, len(tasks))) as pool:
+        return pool.map(inheritable_thread_target(spark)(run), tasks, chunksize=1)
+
+
+def _fit_one(part: Part, model: str, n_rows: int, total: float, keep: list[str]) -> DataFrame:
+    train = part.train.coalesce(max(1, math.ceil(n_rows / TASK_ROWS)))
+    scored = build_classifier(model, total, part.weight).fit(train).transform(part.test)
     source = "probability" if model in PROBABILISTIC else "rawPrediction"
-    return scored.select(
-        *test.columns,
-        vector_to_array(F.col(source))[1].alias("raw"),
-        F.col("prediction").cast("int").alias("pred"),
-    )
+    return scored.select(*keep, vector_to_array(F.col(source))[1].alias("raw"), F.col("prediction").cast("int").alias("pred"))
 
 
-def cross_predict(folded: DataFrame, model: str, k: int = FOLDS) -> DataFrame | None:
-    """Out-of-fold predictions for a table with ``fold``, ``y`` and ``features``."""
-    rows = folded.persist(StorageLevel.MEMORY_AND_DISK)
+def _fit_boosted(parts: dict[int, Part], keep: list[str]) -> dict[int, DataFrame]:
+    """Boosted predictions of all parts, whose trees grow together."""
+    dense = vector_to_array("features").alias("features")
+    trains = [
+        p.train.select(F.lit(i).alias("run"), F.col("y").cast("double").alias("y"), (F.col(p.weight) if p.weight else F.lit(1.0)).cast("double").alias("weight"), dense)
+        for i, p in enumerate(parts.values())
+    ]
+    rows = union_all(trains).persist(StorageLevel.MEMORY_AND_DISK)
+    width = rows.select(F.size("features").alias("n")).first()["n"]
+    forest = boosting.fit(rows, len(parts), width, BOOSTED)
+    rows.unpersist()
+    tests = union_all([p.test.select(F.lit(i).alias("run"), *keep, dense) for i, p in enumerate(parts.values())])
+    scored = cut_lineage(forest.predict(tests).withColumn("pred", (F.col("raw") > 0.5).cast("int")))
+    return {key: scored.filter(F.col("run") == i).drop("run") for i, key in enumerate(parts)}
 
-    def step(fold: int) -> DataFrame | None:
-        test = rows.filter(F.col("fold") == fold)
-        part = fit_predict(rows.filter(F.col("fold") != fold), test, model)
-        return None if part is None else part.drop("features")
 
-    parts = [p for p in run_folds(folded.sparkSession, step, k) if p is not None]
+def predict_all(parts: list[Part], models: Iterable[str]) -> dict[tuple[int, str], DataFrame | Exception | None]:
+    """Predictions of fresh models on each part's test rows: its columns but vectors, with ``raw`` (score) and ``pred``.
+
+    None where the training labels do not hold two classes; an error where a fit failed. All parts have the same columns.
+    """
     if not parts:
-        return None
-    done = cut_lineage(union_all(parts))
-    rows.unpersist()
+        return {}
+    spark, names = parts[0].train.sparkSession, list(models)
+    keep = [f.name for f in parts[0].test.schema.fields if not isinstance(f.dataType, VectorUDT)]
+
+    def size(part: Part):
+        weight = F.col(part.weight) if part.weight else F.lit(1.0)
+        return part.train.agg(F.count("*").alias("rows"), F.sum(weight).alias("n"), F.count_distinct("y").alias("classes")).first()
+
+    sizes = side_by_side(spark, size, parts)
+    done: dict[tuple[int, str], DataFrame | Exception | None] = {}
+    fit: list[int] = []
+    for i, found in enumerate(sizes):
+        if isinstance(found, Exception) or found["classes"] < 2:
+            done |= {(i, m): found if isinstance(found, Exception) else None for m in names}
+        else:
+            fit.append(i)
+    # the longest fits first
+    order = sorted([m for m in names if m != "xgb"], key=["rf", "svc", "lr"].index) if set(names) <= {"rf", "svc", "lr", "xgb"} else names
+    tasks: list = [(None, "xgb")] if "xgb" in names and fit else []
+    tasks += [(i, m) for m in order if m != "xgb" for i in fit]
+
+    def step(task):
+        i, model = task
+        if model == "xgb":
+            return _fit_boosted({k: parts[k] for k in fit}, keep)
+        return cut_lineage(_fit_one(parts[i], model, sizes[i]["rows"], sizes[i]["n"], keep))
+
+    for (i, model), found in zip(tasks, side_by_side(spark, step, tasks)):
+        if i is not None:
+            done[i, model] = found
+        else:
+            done |= {(k, model): found if isinstance(found, Exception) else found[k] for k in fit}
     return done
 
 
+def fit_predict(train: DataFrame, test: DataFrame, model: str, weight: str | None = None) -> DataFrame | None:
+    """Predictions of one fresh model; see :func:`predict_all`."""
+    if model not in (*PROBABILISTIC, "svc"):
+        raise ValueError(f"unknown model identifier: {model}")
+    found = predict_all([Part(train, test, weight)], [model])[0, model]
+    if isinstance(found, Exception):
+        raise found
+    return found
+
+
+def fold_parts(folded: DataFrame, k: int = FOLDS) -> list[Part]:
+    """Each fold as test rows of the others; ``folded`` has ``fold``, ``y`` and ``features``."""
+    return [Part(folded.filter(F.col("fold") != i), folded.filter(F.col("fold") == i)) for i in range(k)]
+
+
+def cross_predict_all(folded: DataFrame, models: Iterable[str], k: int = FOLDS) -> dict[str, DataFrame | Exception | None]:
+    """Out-of-fold predictions of each model for a table with ``fold``, ``y`` and ``features``."""
+    names = list(models)
+    rows = folded.persist(StorageLevel.MEMORY_AND_DISK)
+    found = predict_all(fold_parts(rows, k), names)
+    rows.unpersist()
+    out: dict[str, DataFrame | Exception | None] = {}
+    for m in names:
+        parts = [found[i, m] for i in range(k)]
+        errors = [p for p in parts if isinstance(p, Exception)]
+        kept = [p for p in parts if p is not None]
+        out[m] = errors[0] if errors else union_all(kept) if kept else None
+    return out
+
+
+def cross_predict(folded: DataFrame, model: str, k: int = FOLDS) -> DataFrame | None:
+    """Out-of-fold predictions of one model."""
+    found = cross_predict_all(folded, [model], k)[model]
+    if isinstance(found, Exception):
+        raise found
+    return found
+
+
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
@@ -150,28 +238,106 @@ def infeasible(spark) -> DataFrame:
     return spark.createDataFrame([(INFEASIBLE, None, None)], RESULT_SCHEMA)
 
 
-def search_predictions(
-    df: DataFrame, techniques: list[str], model: str, roles: Roles, mode: str = "sorted"
-) -> DataFrame | None:
-    """Out-of-fold predictions after a practice list; None when nothing can be learnt.
+def practice_tree(df: DataFrame, lists: Iterable[Iterable[str]], roles: Roles) -> dict[tuple[str, ...], DataFrame | Exception]:
+    """The table after each practice list; what several lists begin with is applied once and materialised.
 
-    The practices run before the folds are drawn, and the protected column stays a feature.
+    A failing practice fails all lists that begin with it.
     """
-    shaped = apply_practices(df, techniques, roles)
-    ready = prepare_model(shaped, roles.target, roles.row_id, roles.protected, mode=mode)
-    ready = cut_lineage(ready)
+    wanted = sorted({tuple(x) for x in lists})
+    uses = Counter(steps[:i] for steps in wanted for i in range(1, len(steps) + 1))
+    made: dict[tuple[str, ...], DataFrame | Exception] = {(): df}
+    for steps in wanted:
+        for i in range(1, len(steps) + 1):
+            key, before = steps[:i], made[steps[: i - 1]]
+            if key in made:
+                continue
+            if isinstance(before, Exception):
+                made[key] = before
+                continue
+            try:
+                out = apply_practice(before, key[-1], roles)
+                shared = uses[key] > 1 or (key[-1] in CUT_AFTER and i < len(steps))
+                made[key] = cut_lineage(out) if shared else out
+            except Exception as e:  # noqa: BLE001 - the caller raises or records it
+                made[key] = e
+    return {steps: made[steps] for steps in wanted}
+
+
+def _folded(shaped: DataFrame, roles: Roles, mode: str) -> DataFrame | None:
+    """The prepared table with folds, ``y`` and ``features``; None when its label cannot be learnt."""
+    ready = cut_lineage(prepare_model(shaped, roles.target, roles.row_id, roles.protected, mode=mode))
     features = feature_columns(ready, roles.row_id, roles.target)
     require_finite(ready, numeric_columns(ready, roles.row_id, roles.target), "features")
     if label_problem(ready, roles.target):
         return None
-    folded = kfold(ready.withColumn("y", F.col(roles.target).cast("int")), roles.row_id)
-    preds = cross_predict(assemble(folded, features), model)
-    if preds is None:
-        return None
-    grouped = privileged(preds, roles.protected, ["fold"], roles.row_id)
-    return grouped.select(
-        F.col(roles.row_id).alias("row_id"), "fold", "y", "s", F.col("raw").alias("score"), "pred"
-    )
+    folded = assemble(kfold(ready.withColumn("y", F.col(roles.target).cast("int")), roles.row_id), features)
+    return folded.select(roles.row_id, roles.protected, "fold", "y", "features")
+
+
+def search_predictions_all(
+    df: DataFrame, lists: Iterable[Iterable[str]], models: Iterable[str], roles: Roles, mode: str = "sorted"
+) -> dict[tuple[tuple[str, ...], str], DataFrame | Exception | None]:
+    """Out-of-fold predictions after each practice list by each model; None when nothing can be learnt.
+
+    The practices run before the folds are drawn, and the protected column stays a feature. A list is prepared and
+    folded once for all models.
+    """
+    names, out = list(models), {}
+    shaped = practice_tree(df, lists, roles)
+
+    def prepare(steps: tuple[str, ...]) -> DataFrame | None:
+        table = shaped[steps]
+        if isinstance(table, Exception):
+            raise table
+        return _folded(table, roles, mode)
+
+    for steps, folded in zip(shaped, side_by_side(df.sparkSession, prepare, list(shaped))):
+        if folded is None or isinstance(folded, Exception):
+            out |= {(steps, m): folded for m in names}
+            continue
+        for m, preds in cross_predict_all(folded, names).items():
+            if preds is not None and not isinstance(preds, Exception):
+                grouped = privileged(preds, roles.protected, ["fold"], roles.row_id)
+                preds = grouped.select(F.col(roles.row_id).cast("string").alias("row_id"), "fold", "y", "s", F.col("raw").alias("score"), "pred")
+            out[steps, m] = preds
+    return out
+
+
+def search_predictions(df: DataFrame, techniques: list[str], model: str, roles: Roles, mode: str = "sorted") -> DataFrame | None:
+    """Out-of-fold predictions after one practice list; see :func:`search_predictions_all`."""
+    found = search_predictions_all(df, [techniques], [model], roles, mode)[tuple(techniques), model]
+    if isinstance(found, Exception):
+        raise found
+    return found
+
+
+def evaluate_lists(
+    df: DataFrame,
+    lists: Iterable[Iterable[str]],
+    models: Iterable[str],
+    roles: Roles,
+    perf_weight: float = 0.5,
+    fair_weight: float = 0.5,
+    mode: str = "sorted",
+) -> DataFrame:
+    """``techniques`` (joined by commas), ``model``, ``fitness, fairness_score, performance_score`` of every list and model.
+
+    All predictions are scored together. The first failure is raised.
+    """
+    found = search_predictions_all(df, lists, models, roles, mode)
+    for preds in found.values():
+        if isinstance(preds, Exception):
+            raise preds
+    label = lambda key: [F.lit(",".join(key[0])).alias("techniques"), F.lit(key[1]).alias("model")]
+    keys = ["techniques", "model"]
+    parts = [preds.select(*label(k), "*") for k, preds in found.items() if preds is not None]
+    rows = [infeasible(df.sparkSession).select(*label(k), "*") for k, preds in found.items() if preds is None]
+    if parts:
+        every = cut_lineage(union_all(parts))
+        folds = keyed_join(performance(every, [*keys, "fold"]), fairness(every, [*keys, "fold"]), [*keys, "fold"])
+        fitness = combined_fitness(folds, keys, perf_weight, fair_weight)
+        rows.append(fitness.select(*keys, "fitness", "fairness_score", "performance_score"))
+    return union_all(rows)
 
 
 def evaluate_practices(
@@ -194,59 +360,91 @@ def evaluate_practices(
     )
 
 
-def baseline_predictions(df: DataFrame, method: str, model: str, roles: Roles) -> DataFrame:
-    """Out-of-fold predictions with the mitigation applied to each training part only.
+@dataclass
+class BaselineRuns:
+    """Predictions of all (method, model) runs that worked (None if none did), their seconds and the errors of the others."""
+
+    predictions: DataFrame | None
+    seconds: dict[tuple[str, str], float]
+    errors: dict[tuple[str, str], Exception]
+
 
-    Folds are balanced by label and the protected column is not a feature.
+def baseline_runs(df: DataFrame, methods: Iterable[str], models: Iterable[str], roles: Roles) -> BaselineRuns:
+    """Out-of-fold predictions with each mitigation applied to each training part only.
+
+    Folds are balanced by label and the protected column is not a feature. Every (method, fold) is mitigated once and
+    serves all models; all boosted models grow together. ``seconds`` are those of all runs, which share their work.
     """
-    numbers = booleans_to_numbers(df)
-    folded = cut_lineage(stratified_kfold(numbers, roles.target, roles.row_id))
+    start, spark = time.time(), df.sparkSession
+    methods, models = list(methods), list(models)
+    folded = cut_lineage(stratified_kfold(booleans_to_numbers(df), roles.target, roles.row_id))
     features = feature_columns(folded, roles.row_id, roles.target, roles.protected, "fold")
-    names = folded.columns
+    tests = assemble(folded.withColumn("y", F.col(roles.target).cast("int")), features)
+    tests = tests.select(*dict.fromkeys([roles.row_id, roles.target, roles.protected, "fold", "y", "features"])).persist(StorageLevel.MEMORY_AND_DISK)
 
-    def step(fold: int) -> DataFrame:
-        train = folded.filter(F.col("fold") != fold).drop("fold")
-        changed, weight = mitigate(train, method, roles)
+    def mitigated(task: tuple[str, int]) -> Part:
+        method, fold = task
+        changed, weight = mitigate(folded.filter(F.col("fold") != fold).drop("fold"), method, roles)
         ready = assemble(changed.withColumn("y", F.col(roles.target).cast("int")), features)
-        kept = ready.select("y", "features", *([weight] if weight else [])).persist(
-            StorageLevel.MEMORY_AND_DISK
-        )
-        test = folded.filter(F.col("fold") == fold)
-        target = assemble(test.withColumn("y", F.col(roles.target).cast("int")), features)
-        part = fit_predict(kept, target, model, weight)
-        kept.unpersist()
-        if part is None:
-            raise ValueError("a training part holds a single class")
-        return part.select(*names, "y", "raw")
-
-    parts = run_folds(df.sparkSession, step, FOLDS)
-    union = union_all(parts)
-    if model in PROBABILISTIC:
-        scored = union.withColumn("score", F.col("raw"))
-    else:
-        scored = score_minmax(union, "raw", ["fold"], roles.row_id)
-    grouped = privileged(hard_label(scored), roles.protected, ["fold"], roles.row_id)
-    labelled = coerce_labels(grouped, roles.target, ["fold"], roles.row_id)
-    return labelled.select(
-        F.col(roles.row_id).alias("row_id"), "fold", "y", "s", "score", "pred"
-    )
+        kept = ready.select("y", "features", *([weight] if weight else []))
+        return Part(cut_lineage(kept), tests.filter(F.col("fold") == fold), weight)
+
+    tasks = [(m, f) for m in methods for f in range(FOLDS)]
+    made = side_by_side(spark, mitigated, tasks)
+    errors: dict[tuple[str, str], Exception] = {}
+    for (method, _), part in zip(tasks, made):
+        if isinstance(part, Exception):
+            errors |= {(method, m): errors.get((method, m), part) for m in models}
+    good = [(t, p) for t, p in zip(tasks, made) if not isinstance(p, Exception) and (t[0], models[0]) not in errors]
+    found = predict_all([p for _, p in good], models)
+    rows = []
+    for method in methods:
+        for model in models:
+            parts = [found[i, model] for i, ((m, _), _) in enumerate(good) if m == method]
+            bad = [p for p in parts if p is None or isinstance(p, Exception)]
+            if bad:
+                errors.setdefault((method, model), bad[0] or ValueError("a training part holds a single class"))
+            elif parts:
+                rows.append(union_all(parts).select(F.lit(method).alias("mitigation"), F.lit(model).alias("model"), "*"))
+    if not rows:
+        return BaselineRuns(None, {}, errors)
+    every, keys = cut_lineage(union_all(rows)), ["mitigation", "model", "fold"]
+    tests.unpersist()
+    sure = every.filter(F.col("model").isin(*PROBABILISTIC)).withColumn("score", F.col("raw"))
+    scaled = score_minmax(every.filter(~F.col("model").isin(*PROBABILISTIC)), "raw", keys, roles.row_id)
+    grouped = privileged(hard_label(sure.unionByName(scaled)), roles.protected, keys, roles.row_id)
+    labelled = coerce_labels(grouped, roles.target, keys, roles.row_id)
+    preds = cut_lineage(labelled.select("mitigation", "model", F.col(roles.row_id).alias("row_id"), "fold", "y", "s", "score", "pred"))
+    elapsed = time.time() - start
+    done = {(m, x): elapsed / (len(methods) * len(models)) for m in methods for x in models if (m, x) not in errors}
+    return BaselineRuns(preds, done, errors)
+
+
+def score_baselines(runs: BaselineRuns) -> DataFrame | None:
+    """One row a (mitigation, model): mean average precision, fairness score, its undefined folds, undefinedness.
+
+    Runs with scores that are no numbers are moved to ``runs.errors``.
+    """
+    if runs.predictions is None:
+        return None
+    preds, keys = runs.predictions, ["mitigation", "model"]
+    for r in preds.filter(F.col("score").isNull() | F.isnan("score")).select(*keys).distinct().collect():  # one row a run
+        runs.errors[r["mitigation"], r["model"]] = NonFiniteError(f"{r['mitigation']} classifier scores")
+    perf = average_precision(preds, [*keys, "fold"]).groupBy(*keys).agg(F.avg("average_precision").alias("performance_score"))
+    fair = baseline_fairness(fairness(preds, [*keys, "fold"]), keys)
+    return keyed_join(perf, fair, keys).select(*keys, "performance_score", "fairness_score", "undefined_fairness_folds", "fairness_undefined")
 
 
 def evaluate_baseline(df: DataFrame, method: str, model: str, roles: Roles) -> DataFrame:
-    """One row: mean average precision, fairness score, its undefined folds, seconds."""
-    start = time.time()
-    preds = cut_lineage(baseline_predictions(df, method, model, roles))
-    elapsed = time.time() - start
-    require_finite(preds, ["score"], f"{method} classifier scores")
-    run = preds.withColumn("run", F.lit(0))
-    perf = average_precision(run, ["run", "fold"]).groupBy("run").agg(
-        F.avg("average_precision").alias("performance_score")
-    )
-    fair = baseline_fairness(fairness(run, ["run", "fold"]), ["run"])
-    return keyed_join(perf, fair, ["run"]).select(
+    """One row: mean average precision, fairness score, its undefined folds, seconds. Failures are raised."""
+    runs = baseline_runs(df, [method], [model], roles)
+    scores = score_baselines(runs)
+    if runs.errors:
+        raise runs.errors[method, model]
+    return scores.select(
         "performance_score",
         "fairness_score",
-        F.lit(elapsed).alias("elapsed_seconds"),
+        F.lit(runs.seconds[method, model]).alias("elapsed_seconds"),
         "undefined_fairness_folds",
         "fairness_undefined",
     )

@@ -17,7 +17,7 @@ from evenkeel.operators.joins import keyed_join
 from evenkeel.operators.lineage import cut_lineage
 from evenkeel.operators.metrics import combined_fitness, fairness, performance
 from evenkeel.operators.search import genetic_search
-from evenkeel.plans.evaluate import evaluate_baseline, evaluate_practices, search_predictions, union_all
+from evenkeel.plans.evaluate import baseline_runs, evaluate_lists, score_baselines, search_predictions, union_all
 from evenkeel.roles import INFEASIBLE, TECHNIQUES, Roles
 from evenkeel.sources.results import result_rows
 from evenkeel.sources.scores import SCORE_KEYS, append_scores, score_lookup, score_misses, with_weights
@@ -53,22 +53,22 @@ def static_baselines(
 ) -> DataFrame:
     """All practices in catalogue order, and none, for every (dataset, attribute) and model."""
     parts = []
+    lists = {"all": TECHNIQUES, "none": []}
     for (dataset, attribute), (df, roles) in samples.items():
-        for model in models:
-            for label, names in (("all", TECHNIQUES), ("none", [])):
-                scored = evaluate_practices(df, names, model, roles)
-                parts.append(
-                    scored.select(
-                        F.lit(dataset).alias("dataset"),
-                        F.lit(attribute).alias("protected_attribute"),
-                        F.lit(model).alias("model"),
-                        F.lit(label).alias("baseline"),
-                        F.lit(",".join(names)).alias("techniques"),
-                        "fitness",
-                        F.col("fairness_score").alias("fairness"),
-                        F.col("performance_score").alias("performance"),
-                    )
-                )
+        scored = evaluate_lists(df, lists.values(), models, roles)
+        label = F.when(F.col("techniques") == "", "none").otherwise("all")
+        parts.append(
+            scored.select(
+                F.lit(dataset).alias("dataset"),
+                F.lit(attribute).alias("protected_attribute"),
+                "model",
+                label.alias("baseline"),
+                "techniques",
+                "fitness",
+                F.col("fairness_score").alias("fairness"),
+                F.col("performance_score").alias("performance"),
+            )
+        )
     return union_all(parts)
 
 
@@ -207,38 +207,32 @@ def search_method_rows(best: DataFrame, label: str = "Search") -> DataFrame:
     )
 
 
-def baseline_method_row(
-    df: DataFrame, roles: Roles, dataset: str, model: str, label: str
-) -> DataFrame:
-    """One mitigation result row; a failure has NULL metrics, zero seconds and its message."""
+def baseline_method_rows(df: DataFrame, roles: Roles, dataset: str, models: list[str], labels: list[str]) -> DataFrame:
+    """Mitigation result rows of all models; a failed run has NULL metrics, zero seconds and its message."""
     spark = df.sparkSession
-    keys = [
-        F.lit(dataset).alias("dataset_name"),
-        F.lit(roles.protected).alias("protected_attribute"),
-        F.lit(model).alias("model_identifier"),
-        F.lit(label).alias("method"),
+    keys = [F.lit(dataset).alias("dataset_name"), F.lit(roles.protected).alias("protected_attribute")]
+    name_of = {MITIGATIONS[label]: label for label in labels}
+    runs = baseline_runs(df, list(name_of), models, roles)
+    scores = score_baselines(runs)
+    for e in runs.errors.values():
+        if not isinstance(e, RUN_ERRORS):
+            raise e
+    every = [
+        (label, method, model, runs.seconds.get((method, model), 0.0) if (method, model) not in runs.errors else 0.0,
+         f"{type(e).__name__}: {e}" if (e := runs.errors.get((method, model))) else None)
+        for method, label in name_of.items()
+        for model in models
     ]
-    try:
-        done = evaluate_baseline(df, MITIGATIONS[label], model, roles)
-        return done.select(
-            *keys,
-            "performance_score",
-            "fairness_score",
-            "elapsed_seconds",
-            "undefined_fairness_folds",
-            "fairness_undefined",
-            F.lit(None).cast("string").alias("error"),
-        )
-    except RUN_ERRORS as e:
-        return spark.range(1).select(
-            *keys,
-            F.lit(None).cast("double").alias("performance_score"),
-            F.lit(None).cast("double").alias("fairness_score"),
-            F.lit(0.0).alias("elapsed_seconds"),
-            F.lit(None).cast("bigint").alias("undefined_fairness_folds"),
-            F.lit(None).cast("boolean").alias("fairness_undefined"),
-            F.lit(f"{type(e).__name__}: {e}").alias("error"),
-        )
+    table = spark.createDataFrame(every, "method string, mitigation string, model string, elapsed_seconds double, error string")
+    metrics = {"performance_score": "double", "fairness_score": "double", "undefined_fairness_folds": "bigint", "fairness_undefined": "boolean"}
+    if scores is None:
+        joined = table.select("*", *[F.lit(None).cast(t).alias(c) for c, t in metrics.items()])
+    else:
+        joined = table.join(scores, ["mitigation", "model"], "left")
+    worked = [F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in metrics]
+    return joined.select(
+        *keys, F.col("model").alias("model_identifier"), "method", worked[0], worked[1], "elapsed_seconds", worked[2], worked[3], "error"
+    )
 
 
 def method_results(
@@ -247,6 +241,5 @@ def method_results(
     """Search rows and the three mitigation rows of every (dataset, attribute, model)."""
     parts = [search_method_rows(best)]
     for (dataset, _), (df, roles) in samples.items():
-        for model in models:
-            parts += [baseline_method_row(df, roles, dataset, model, m) for m in MITIGATIONS]
+        parts.append(baseline_method_rows(df, roles, dataset, models, list(MITIGATIONS)))
     return union_all(parts)

@@ -41,7 +41,7 @@ def test_baselines_end_to_end(sample, method, model):
 
 def test_failed_baseline_becomes_a_row(sample):
     broken = sample.withColumn("f0", F.when(F.col("id") != 3, F.col("f0")))
-    r = grid.baseline_method_row(broken, ROLES, "d", "lr", "DIR").first()
+    r = grid.baseline_method_rows(broken, ROLES, "d", ["lr"], ["DIR"]).first()
     assert r["performance_score"] is None and r["elapsed_seconds"] == 0 and "NonFiniteError" in r["error"]
 
 
