@@ -1,7 +1,8 @@
 """Cross-validated evaluation of practice lists and mitigation methods.
 
 What several models share is made once: practices with a common beginning, preparation, folds and mitigated training parts.
-Boosted models of all folds are trained together; the models of ``pyspark.ml`` are fitted side by side.
+Boosted models of all folds are trained together; the models of ``pyspark.ml`` are fitted side by side, before them: the
+many short passes of boosting would wait behind the long tasks of forests.
 """
 
 from __future__ import annotations
@@ -145,7 +146,8 @@ def _fit_boosted(parts: dict[int, Part], keep: list[str]) -> dict[int, DataFrame
 def predict_all(parts: list[Part], models: Iterable[str]) -> dict[tuple[int, str], DataFrame | Exception | None]:
     """Predictions of fresh models on each part's test rows: its columns but vectors, with ``raw`` (score) and ``pred``.
 
-    None where the training labels do not hold two classes; an error where a fit failed. All parts have the same columns.
+    None where the training labels do not hold two classes; an error where a fit failed. Test rows of all parts have the
+    same column names; types and the number of features may differ, then boosted models grow in several batches.
     """
     if not parts:
         return {}
@@ -154,7 +156,10 @@ def predict_all(parts: list[Part], models: Iterable[str]) -> dict[tuple[int, str
 
     def size(part: Part):
         weight = F.col(part.weight) if part.weight else F.lit(1.0)
-        return part.train.agg(F.count("*").alias("rows"), F.sum(weight).alias("n"), F.count_distinct("y").alias("classes")).first()
+        width = F.max(F.size(vector_to_array("features")))
+        return part.train.agg(
+            F.count("*").alias("rows"), F.sum(weight).alias("n"), F.count_distinct("y").alias("classes"), width.alias("width")
+        ).first()
 
     sizes = side_by_side(spark, size, parts)
     done: dict[tuple[int, str], DataFrame | Exception | None] = {}
@@ -165,21 +170,24 @@ def predict_all(parts: list[Part], models: Iterable[str]) -> dict[tuple[int, str
         else:
             fit.append(i)
     # the longest fits first
-    order = sorted([m for m in names if m != "xgb"], key=["rf", "svc", "lr"].index) if set(names) <= {"rf", "svc", "lr", "xgb"} else names
-    tasks: list = [(None, "xgb")] if "xgb" in names and fit else []
-    tasks += [(i, m) for m in order if m != "xgb" for i in fit]
+    order = sorted((m for m in names if m != "xgb"), key=lambda m: ("rf", "svc", "lr").index(m) if m in ("rf", "svc", "lr") else 3)
+    tasks = [(i, m) for m in order for i in fit]
 
-    def step(task):
+    def step(task: tuple[int, str]) -> DataFrame:
         i, model = task
-        if model == "xgb":
-            return _fit_boosted({k: parts[k] for k in fit}, keep)
         return cut_lineage(_fit_one(parts[i], model, sizes[i]["rows"], sizes[i]["n"], keep))
 
-    for (i, model), found in zip(tasks, side_by_side(spark, step, tasks)):
-        if i is not None:
-            done[i, model] = found
-        else:
-            done |= {(k, model): found if isinstance(found, Exception) else found[k] for k in fit}
+    done |= dict(zip(tasks, side_by_side(spark, step, tasks)))
+    alike: dict[tuple[int, str], list[int]] = {}
+    for i in fit if "xgb" in names else ():
+        alike.setdefault((sizes[i]["width"], parts[i].test.select(*keep).schema.simpleString()), []).append(i)
+
+    def boost(members: list[int]) -> dict[int, DataFrame]:
+        return _fit_boosted({i: parts[i] for i in members}, keep)
+
+    for members in alike.values():
+        found = side_by_side(spark, boost, [members])[0]
+        done |= {(i, "xgb"): found if isinstance(found, Exception) else found[i] for i in members}
     return done
 
 
@@ -198,21 +206,32 @@ def fold_parts(folded: DataFrame, k: int = FOLDS) -> list[Part]:
     return [Part(folded.filter(F.col("fold") != i), folded.filter(F.col("fold") == i)) for i in range(k)]
 
 
-def cross_predict_all(folded: DataFrame, models: Iterable[str], k: int = FOLDS) -> dict[str, DataFrame | Exception | None]:
-    """Out-of-fold predictions of each model for a table with ``fold``, ``y`` and ``features``."""
+def cross_predict_many(
+    tables: list[DataFrame], models: Iterable[str], k: int = FOLDS
+) -> list[dict[str, DataFrame | Exception | None]]:
+    """Out-of-fold predictions of each model for every table (``fold``, ``y``, ``features``), all fitted in one call."""
     names = list(models)
-    rows = folded.persist(StorageLevel.MEMORY_AND_DISK)
-    found = predict_all(fold_parts(rows, k), names)
-    rows.unpersist()
-    out: dict[str, DataFrame | Exception | None] = {}
-    for m in names:
-        parts = [found[i, m] for i in range(k)]
-        errors = [p for p in parts if isinstance(p, Exception)]
-        kept = [p for p in parts if p is not None]
-        out[m] = errors[0] if errors else union_all(kept) if kept else None
+    kept = [t.persist(StorageLevel.MEMORY_AND_DISK) for t in tables]
+    found = predict_all([part for t in kept for part in fold_parts(t, k)], names)
+    for t in kept:
+        t.unpersist()
+    out = []
+    for first in range(0, k * len(kept), k):
+        by_model: dict[str, DataFrame | Exception | None] = {}
+        for m in names:
+            parts = [found[i, m] for i in range(first, first + k)]
+            errors = [p for p in parts if isinstance(p, Exception)]
+            good = [p for p in parts if p is not None]
+            by_model[m] = errors[0] if errors else union_all(good) if good else None
+        out.append(by_model)
     return out
 
 
+def cross_predict_all(folded: DataFrame, models: Iterable[str], k: int = FOLDS) -> dict[str, DataFrame | Exception | None]:
+    """Out-of-fold predictions of each model for one table."""
+    return cross_predict_many([folded], models, k)[0]
+
+
 def cross_predict(folded: DataFrame, model: str, k: int = FOLDS) -> DataFrame | None:
     """Out-of-fold predictions of one model."""
     found = cross_predict_all(folded, [model], k)[model]
@@ -277,13 +296,22 @@ def _folded(shaped: DataFrame, roles: Roles, mode: str) -> DataFrame | None:
 def search_predictions_all(
     df: DataFrame, lists: Iterable[Iterable[str]], models: Iterable[str], roles: Roles, mode: str = "sorted"
 ) -> dict[tuple[tuple[str, ...], str], DataFrame | Exception | None]:
-    """Out-of-fold predictions after each practice list by each model; None when nothing can be learnt.
+    """Out-of-fold predictions after each practice list by each model; see :func:`predict_lists`."""
+    names = list(models)
+    return predict_lists(df, {tuple(x): names for x in lists}, roles, mode)
+
+
+def predict_lists(
+    df: DataFrame, wanted: dict[tuple[str, ...], list[str]], roles: Roles, mode: str = "sorted"
+) -> dict[tuple[tuple[str, ...], str], DataFrame | Exception | None]:
+    """Out-of-fold predictions after each practice list by its models; None when nothing can be learnt.
 
     The practices run before the folds are drawn, and the protected column stays a feature. A list is prepared and
-    folded once for all models.
+    folded once for all its models; the folds of all lists that want the same models are fitted in one call, so their
+    boosted models grow together. The tables of all lists are held (in memory or on disk) at once: pass long queues in blocks.
     """
-    names, out = list(models), {}
-    shaped = practice_tree(df, lists, roles)
+    out: dict[tuple[tuple[str, ...], str], DataFrame | Exception | None] = {}
+    shaped = practice_tree(df, wanted, roles)
 
     def prepare(steps: tuple[str, ...]) -> DataFrame | None:
         table = shaped[steps]
@@ -291,15 +319,19 @@ def search_predictions_all(
             raise table
         return _folded(table, roles, mode)
 
+    together: dict[tuple[str, ...], list[tuple[tuple[str, ...], DataFrame]]] = {}
     for steps, folded in zip(shaped, side_by_side(df.sparkSession, prepare, list(shaped))):
         if folded is None or isinstance(folded, Exception):
-            out |= {(steps, m): folded for m in names}
-            continue
-        for m, preds in cross_predict_all(folded, names).items():
-            if preds is not None and not isinstance(preds, Exception):
-                grouped = privileged(preds, roles.protected, ["fold"], roles.row_id)
-                preds = grouped.select(F.col(roles.row_id).cast("string").alias("row_id"), "fold", "y", "s", F.col("raw").alias("score"), "pred")
-            out[steps, m] = preds
+            out |= {(steps, m): folded for m in wanted[steps]}
+        else:
+            together.setdefault(tuple(sorted(wanted[steps])), []).append((steps, folded))
+    for names, tables in together.items():
+        for (steps, _), found in zip(tables, cross_predict_many([t for _, t in tables], names)):
+            for m, preds in found.items():
+                if preds is not None and not isinstance(preds, Exception):
+                    grouped = privileged(preds, roles.protected, ["fold"], roles.row_id)
+                    preds = grouped.select(F.col(roles.row_id).cast("string").alias("row_id"), "fold", "y", "s", F.col("raw").alias("score"), "pred")
+                out[steps, m] = preds
     return out
 
 

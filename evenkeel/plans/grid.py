@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
-from multiprocessing.pool import ThreadPool
+from collections.abc import Callable, Iterator
+from itertools import islice
+from uuid import uuid4
 
-from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,10 +14,10 @@ from pyspark.sql import types as T
 
 from evenkeel.functions.ratios import is_finite
 from evenkeel.operators.joins import keyed_join
-from evenkeel.operators.lineage import cut_lineage
+from evenkeel.operators.lineage import cut_lineage, ensure_checkpoint_dir
 from evenkeel.operators.metrics import combined_fitness, fairness, performance
 from evenkeel.operators.search import genetic_search
-from evenkeel.plans.evaluate import baseline_runs, evaluate_lists, score_baselines, search_predictions, union_all
+from evenkeel.plans.evaluate import baseline_runs, evaluate_lists, predict_lists, score_baselines, union_all
 from evenkeel.roles import INFEASIBLE, TECHNIQUES, Roles
 from evenkeel.sources.results import result_rows
 from evenkeel.sources.scores import SCORE_KEYS, append_scores, score_lookup, score_misses, with_weights
@@ -28,8 +28,8 @@ MITIGATIONS = {"FairSMOTE": "fairsmote", "Reweighing": "reweighing", "DIR": "dir
 #: Failures of one run that become its error row; anything else stops the job.
 RUN_ERRORS = (ArithmeticError, ValueError, KeyError, OSError, AnalysisException)
 
-#: Practice lists that are evaluated side by side.
-SIDE_BY_SIDE = 2
+#: Keys (a practice list and a model) of one block of the evaluation queue.
+BLOCK = 32
 
 EVALUATED = T.StructType(
     [
@@ -75,48 +75,84 @@ def static_baselines(
 def sample_evaluator(
     samples: dict[tuple[str, str], tuple[DataFrame, Roles]]
 ) -> Callable[[DataFrame], DataFrame]:
-    """Evaluates distinct practice lists on the sample of their (dataset, attribute).
+    """Evaluates a block of distinct practice lists on the sample of their (dataset, attribute).
 
-    Lists are trained a few side by side, and all their predictions are scored in one pass. The lists of one call are
-    distinct orders of the practices, so their number is bounded by the catalogue and not by data. A list that fails
-    counts as infeasible and carries ``type: message``.
+    Lists of a block share the tables of their common beginnings, the models of a list share its folds, and all
+    predictions of the block are scored in one pass. A list that fails counts as infeasible and carries ``type: message``.
     """
 
     def evaluate(missing: DataFrame) -> DataFrame:
         spark = missing.sparkSession
-        todo = missing.select(*SCORE_KEYS).collect()
-
-        def predict(i: int) -> tuple[DataFrame | None, str | None]:
-            row = todo[i]
-            try:
-                df, roles = samples[row["dataset"], row["protected_attribute"]]
-                return search_predictions(df, list(row["techniques"]), row["model"], roles), None
-            except RUN_ERRORS as e:
-                return None, f"{type(e).__name__}: {str(e).splitlines()[0]}"
-
-        with ThreadPool(SIDE_BY_SIDE) as pool:
-            done = pool.map(inheritable_thread_target(spark)(predict), range(len(todo)))
+        todo = missing.select(*SCORE_KEYS).collect()  # a block
+        wanted: dict[tuple[str, str], dict[tuple[str, ...], set[str]]] = {}
+        for row in todo:
+            lists = wanted.setdefault((row["dataset"], row["protected_attribute"]), {})
+            lists.setdefault(tuple(row["techniques"]), set()).add(row["model"])
+        done: dict[tuple, DataFrame | Exception | None] = {}
+        for sample, lists in wanted.items():
+            if sample in samples:
+                found = predict_lists(samples[sample][0], {x: sorted(m) for x, m in lists.items()}, samples[sample][1])
+                done |= {(*sample, *key): preds for key, preds in found.items()}
+
+        def outcome(row) -> DataFrame | Exception | None:
+            sample = (row["dataset"], row["protected_attribute"])
+            if sample not in samples:
+                return KeyError(sample)
+            return done[(*sample, tuple(row["techniques"]), row["model"])]
+
+        outcomes = [outcome(row) for row in todo]
+        problems = [f"{type(x).__name__}: {str(x).splitlines()[0]}" if isinstance(x, Exception) else None for x in outcomes]
+        for x in outcomes:
+            if isinstance(x, Exception) and not isinstance(x, RUN_ERRORS):
+                raise x
+        parts = [x.withColumn("run", F.lit(i)) for i, x in enumerate(outcomes) if isinstance(x, DataFrame)]
         known: dict[int, tuple] = {}
-        for weights in {(r["perf_weight"], r["fair_weight"]) for r in todo}:
-            parts = [
-                preds.withColumn("run", F.lit(i))
-                for i, (preds, _) in enumerate(done)
-                if preds is not None and (todo[i]["perf_weight"], todo[i]["fair_weight"]) == weights
-            ]
-            if parts:
-                every = union_all(parts)
-                keys = ["run", "fold"]
-                folds = keyed_join(performance(every, keys), fairness(every, keys), keys)
-                for r in combined_fitness(folds, ["run"], *weights).collect():  # one row a list
-                    known[r["run"]] = (r["fitness"], r["fairness_score"], r["performance_score"])
-        rows = [
-            (*row, *known.get(i, (INFEASIBLE, None, None)), done[i][1]) for i, row in enumerate(todo)
-        ]
+        if parts:
+            every, keys = cut_lineage(union_all(parts)), ["run", "fold"]
+            folds = cut_lineage(keyed_join(performance(every, keys), fairness(every, keys), keys))  # a row a list and fold
+            for weights in sorted({(r["perf_weight"], r["fair_weight"]) for r in todo}):
+                for r in combined_fitness(folds, ["run"], *weights).collect():  # a row a list
+                    if (todo[r["run"]]["perf_weight"], todo[r["run"]]["fair_weight"]) == weights:
+                        known[r["run"]] = (r["fitness"], r["fairness_score"], r["performance_score"])
+        rows = [(*row, *known.get(i, (INFEASIBLE, None, None)), problems[i]) for i, row in enumerate(todo)]
         return spark.createDataFrame(rows, EVALUATED)
 
     return evaluate
 
 
+def blocks(keys: DataFrame, size: int) -> Iterator[DataFrame]:
+    """``keys`` in tables of at most ``size`` rows; an empty one if there are none.
+
+    Lists with a common beginning, and the models of one list, come together. The driver holds one partition at a time.
+    """
+    spark, schema = keys.sparkSession, keys.schema
+    order = [c for c in keys.columns if c not in ("techniques", "model")]
+    rows = cut_lineage(keys).orderBy(*order, "techniques", "model").toLocalIterator()
+    first = True
+    while (block := list(islice(rows, size))) or first:
+        first = False
+        yield spark.createDataFrame(block, schema)
+
+
+def evaluate_queue(
+    missing: DataFrame,
+    evaluate: Callable[[DataFrame], DataFrame],
+    folder: str,
+    store_path: str | None = None,
+    size: int = BLOCK,
+) -> None:
+    """Evaluate all keys of ``missing`` in blocks; each is in ``folder`` and in the store before the next one begins.
+
+    So a plan is as large as a block, whatever the length of the queue, and a search that was stopped goes on where it
+    was: its finished blocks are no longer missing when it starts again with the store.
+    """
+    for block in blocks(missing, size):
+        fresh = cut_lineage(evaluate(block))
+        fresh.select(*EVALUATED.names).coalesce(1).write.mode("append").parquet(folder)
+        if store_path is not None:
+            append_scores(fresh.drop("error"), store_path)
+
+
 def run_grid(
     runs: DataFrame,
     runtime: DataFrame,
@@ -127,29 +163,32 @@ def run_grid(
     """Search every run of a grid; one result row per run.
 
     In each generation, lists are looked up in the stores; ``evaluate`` then scores each distinct list that no store
-    has once, these scores join the runtime store (and are appended at ``store_path``), and all are looked up again. A
-    run with a list that failed ends as an error row without metrics. ``elapsed_seconds`` is the time until the
+    has once, block by block; these scores join the runtime store (and are appended at ``store_path``), and all are
+    looked up again. A run with a list that failed ends as an error row without metrics. ``elapsed_seconds`` is the time until the
     generation that answers the run was scored. Without ``evaluate``, lists without a stored score are infeasible.
     """
     failed: list[DataFrame] = []
     seconds: list[float] = []
     start = time.time()
-    store = with_weights(runtime)
+    spark, store, folder = runs.sparkSession, with_weights(runtime), None
+    if evaluate is not None:
+        ensure_checkpoint_dir(spark)
+        folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/evaluated-{uuid4().hex}"
 
     def score(population: DataFrame) -> DataFrame:
-        nonlocal store
+        known = store
         seconds.append(time.time() - start)  # the generation before is done
         keyed = population.withColumn("__row", F.concat_ws(":", "run_id", "slot"))
         if evaluate is not None:
-            known = [store] if archive is None else [store, archive]
-            fresh = cut_lineage(evaluate(missing_scores(keyed, known)))
+            if seconds[1:]:  # blocks of the generations before
+                known = known.unionByName(spark.read.schema(EVALUATED).parquet(folder).drop("error"), allowMissingColumns=True)
+            evaluate_queue(missing_scores(keyed, [known] if archive is None else [known, archive]), evaluate, folder, store_path)
+            fresh = spark.read.schema(EVALUATED).parquet(folder)
             bad = fresh.filter("error is not null").select(*SCORE_KEYS, "error")
             hit = with_weights(population).join(bad, SCORE_KEYS)
-            failed.append(hit.groupBy("run_id").agg(F.min("error").alias("error")))
-            store = store.unionByName(fresh.drop("error"), allowMissingColumns=True)
-            if store_path is not None:
-                append_scores(fresh.drop("error"), store_path)
-        return score_lookup(keyed, store, archive, "__row").drop("__row")
+            failed.append(cut_lineage(hit.groupBy("run_id").agg(F.min("error").alias("error"))))
+            known = store.unionByName(fresh.drop("error"), allowMissingColumns=True)
+        return score_lookup(keyed, known, archive, "__row").drop("__row")
 
     best = cut_lineage(genetic_search(runs, score))
     seconds.append(time.time() - start)
