@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.functions.ratios import INF, rate, ratio
 from evenkeel.operators.joins import attach, keyed_join
+from evenkeel.operators.lineage import cut_lineage
 from evenkeel.operators.ordering import prefix_sums, value_cells
 from evenkeel.roles import FAIRNESS_WHEN_UNDEFINED, INFEASIBLE
 
@@ -27,40 +28,46 @@ def group_rates(preds: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def fairness(preds: DataFrame, keys: list[str]) -> DataFrame:
-    """Absolute parity, opportunity and impact gaps of every (keys) group.
+def contingency(preds: DataFrame, keys: list[str]) -> DataFrame:
+    """Predictions equal in (keys, score, y, s, pred) as one row with their number ``n``: all that the metrics need."""
+    return preds.groupBy(*keys, "score", "y", "s", "pred").agg(F.count("*").alias("n"))
 
-    NULL is undefined (an empty group, 0/0, or labels, groups or predictions missing);
-    infinity is an unbounded impact ratio.
-    """
 
-    def count(cond: Column, name: str) -> Column:
-        return F.count_if(cond).alias(name)
+def _tally(cond: Column, n: str | None) -> Column:
+    """Rows where ``cond`` holds; of a contingency table, the rows it stands for."""
+    return F.count_if(cond) if n is None else F.sum(F.when(cond, F.col(n)).otherwise(0))
 
-    counts = preds.groupBy(*keys).agg(
-        *[
-            c
-            for g in (0, 1)
-            for c in (
-                count(F.col("s") == g, f"n{g}"),
-                count((F.col("s") == g) & (F.col("pred") == 1), f"pp{g}"),
-                count((F.col("s") == g) & (F.col("y") == 1), f"p{g}"),
-                count((F.col("s") == g) & (F.col("y") == 1) & (F.col("pred") == 1), f"tp{g}"),
-            )
-        ],
-        count(
-            F.col("s").isNull() | F.col("y").isNull() | F.col("pred").isNull(), "n_missing"
-        ),
-    )
+
+def _gap_counts(n: str | None) -> list[Column]:
+    """Counts by group that the gaps follow from."""
+    counts = []
+    for g in (0, 1):
+        own, positive, chosen = F.col("s") == g, F.col("y") == 1, F.col("pred") == 1
+        for name, cond in (("n", own), ("pp", own & chosen), ("p", own & positive), ("tp", own & positive & chosen)):
+            counts.append(_tally(cond, n).alias(f"{name}{g}"))
+    missing = F.col("s").isNull() | F.col("y").isNull() | F.col("pred").isNull()
+    return [*counts, _tally(missing, n).alias("n_missing")]
+
+
+def _gaps() -> list[Column]:
+    """The three absolute gaps from the columns of :func:`_gap_counts`."""
     r0, r1 = rate(F.col("pp0"), F.col("n0")), rate(F.col("pp1"), F.col("n1"))
     t0, t1 = rate(F.col("tp0"), F.col("p0")), rate(F.col("tp1"), F.col("p1"))
     whole = F.col("n_missing") == 0
-    return counts.select(
-        *keys,
+    return [
         F.when(whole, F.abs(r0 - r1)).alias("statistical_parity"),
         F.when(whole, F.abs(t0 - t1)).alias("equal_opportunity"),
         F.when(whole, F.abs(1 - ratio(r0, r1))).alias("disparate_impact"),
-    )
+    ]
+
+
+def fairness(preds: DataFrame, keys: list[str]) -> DataFrame:
+    """Absolute parity, opportunity and impact gaps of every (keys) group.
+
+    NULL is undefined (an empty group, 0/0, or labels, groups or predictions missing);
+    infinity is an unbounded impact ratio.
+    """
+    return preds.groupBy(*keys).agg(*_gap_counts(None)).select(*keys, *_gaps())
 
 
 def fold_sum() -> Column:
@@ -68,13 +75,14 @@ def fold_sum() -> Column:
     return F.col(METRICS[0]) + F.col(METRICS[1]) + F.col(METRICS[2])
 
 
-def average_precision(preds: DataFrame, keys: list[str]) -> DataFrame:
+def average_precision(preds: DataFrame, keys: list[str], n: str | None = None) -> DataFrame:
     """Sum of (recall step x precision) over distinct scores, best first, per group.
 
-    NULL without positives. Scores are collapsed to counts before anything is ordered.
+    NULL without positives. Scores are collapsed to counts before anything is ordered. With ``n``, ``preds`` is a
+    contingency table with that column of counts.
     """
     counts = preds.groupBy(*keys, "score").agg(
-        F.count("*").alias("n"), F.count_if(F.col("y") == 1).alias("pos")
+        _tally(F.lit(True), n).alias("n"), _tally(F.col("y") == 1, n).alias("pos")
     )
     placed = prefix_sums(counts, keys, "score", ["n", "pos"], value_cells(preds, "score"))
     at_least = F.col("total_n") - F.col("before_n")
@@ -83,22 +91,37 @@ def average_precision(preds: DataFrame, keys: list[str]) -> DataFrame:
     return placed.groupBy(*keys).agg(F.sum(step).alias("average_precision"))
 
 
+def _label_columns(n: str | None) -> list[Column]:
+    """Smallest and largest label, and the accuracy."""
+    right = F.col("pred") == F.col("y")
+    accuracy = F.avg(right.cast("double")) if n is None else rate(_tally(right, n), _tally(right.isNotNull(), n))
+    return [F.min("y").alias("__lo"), F.max("y").alias("__hi"), accuracy.alias("__acc")]
+
+
+def _performance_columns() -> list[Column]:
+    one_class = F.col("__lo") == F.col("__hi")
+    return [
+        F.when(one_class, F.col("__acc")).otherwise(F.col("average_precision")).alias("performance"),
+        F.coalesce(one_class, F.lit(True)).alias("used_accuracy"),
+    ]
+
+
 def performance(preds: DataFrame, keys: list[str]) -> DataFrame:
     """Average precision; plain accuracy where a group's labels are of one class only."""
-    plain = preds.groupBy(*keys).agg(
-        F.min("y").alias("__lo"),
-        F.max("y").alias("__hi"),
-        F.avg((F.col("pred") == F.col("y")).cast("double")).alias("__acc"),
-    )
+    plain = preds.groupBy(*keys).agg(*_label_columns(None))
     both = keyed_join(plain, average_precision(preds, keys), keys, "left")
-    one_class = F.col("__lo") == F.col("__hi")
-    return both.select(
-        *keys,
-        F.when(one_class, F.col("__acc")).otherwise(F.col("average_precision")).alias(
-            "performance"
-        ),
-        F.coalesce(one_class, F.lit(True)).alias("used_accuracy"),
-    )
+    return both.select(*keys, *_performance_columns())
+
+
+def fold_report(preds: DataFrame, keys: list[str]) -> DataFrame:
+    """``performance``, ``used_accuracy`` and the three gaps of every (keys) group, from one pass over the predictions.
+
+    The contingency table is written to the checkpoint folder; accuracy, gaps and average precision follow from it.
+    """
+    table = cut_lineage(contingency(preds, keys))
+    plain = table.groupBy(*keys).agg(*_label_columns("n"), *_gap_counts("n"))
+    both = keyed_join(plain, average_precision(table, keys, "n"), keys, "left")
+    return both.select(*keys, *_performance_columns(), *_gaps())
 
 
 def score_minmax(df: DataFrame, raw: str, keys: list[str], row_id: str, out: str = "score") -> DataFrame:
@@ -180,7 +203,4 @@ def fairness_report(
     preds: DataFrame, keys: list[str], perf_weight: float = 0.5, fair_weight: float = 0.5
 ) -> DataFrame:
     """Fitness, fairness and performance of every run, from predictions with a ``fold``."""
-    per_fold = keyed_join(
-        performance(preds, [*keys, "fold"]), fairness(preds, [*keys, "fold"]), [*keys, "fold"]
-    )
-    return combined_fitness(per_fold, keys, perf_weight, fair_weight)
+    return combined_fitness(fold_report(preds, [*keys, "fold"]), keys, perf_weight, fair_weight)

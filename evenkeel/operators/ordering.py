@@ -134,10 +134,15 @@ def prefix_sums(
 ) -> DataFrame:
     """Add ``before_<m>`` and ``total_<m>``: sums over smaller values, and over the group.
 
-    ``counts`` has one row per (keys, value); ``bounds`` come from :func:`value_cells`.
+    ``counts`` has one row per (keys, value); ``bounds`` come from :func:`value_cells`. Without bounds all values fit
+    into one cell, so one shuffle by ``keys`` gives both sums.
     """
-    rows = with_cell(counts, value, bounds)
     every = Window.partitionBy(*keys)
+    if not bounds:
+        before = {f"before_{m}": _before(keys, value, m) for m in measures}
+        totals = {f"total_{m}": F.sum(m).over(every) for m in measures}
+        return counts.select(*counts.columns, *[c.alias(name) for name, c in {**before, **totals}.items()])
+    rows = with_cell(counts, value, bounds)
     sums = rows.groupBy(*keys, "__cell").agg(*[F.sum(m).alias(m) for m in measures])
     offsets = sums.select(
         *keys,

@@ -34,8 +34,8 @@ from evenkeel.operators.metrics import (
     baseline_fairness,
     combined_fitness,
     fairness,
+    fold_report,
     hard_label,
-    performance,
     score_minmax,
 )
 from evenkeel.operators.mitigation import mitigate
@@ -366,8 +366,7 @@ def evaluate_lists(
     rows = [infeasible(df.sparkSession).select(*label(k), "*") for k, preds in found.items() if preds is None]
     if parts:
         every = cut_lineage(union_all(parts))
-        folds = keyed_join(performance(every, [*keys, "fold"]), fairness(every, [*keys, "fold"]), [*keys, "fold"])
-        fitness = combined_fitness(folds, keys, perf_weight, fair_weight)
+        fitness = combined_fitness(fold_report(every, [*keys, "fold"]), keys, perf_weight, fair_weight)
         rows.append(fitness.select(*keys, "fitness", "fairness_score", "performance_score"))
     return union_all(rows)
 
@@ -385,8 +384,7 @@ def evaluate_practices(
     preds = search_predictions(df, techniques, model, roles, mode)
     if preds is None:
         return infeasible(df.sparkSession)
-    folds = keyed_join(performance(preds, ["fold"]), fairness(preds, ["fold"]), ["fold"])
-    one = folds.withColumn("run", F.lit(0))
+    one = fold_report(preds, ["fold"]).withColumn("run", F.lit(0))
     return combined_fitness(one, ["run"], perf_weight, fair_weight).select(
         "fitness", "fairness_score", "performance_score"
     )

@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evenkeel.functions.ratios import is_finite
-from evenkeel.operators.joins import keyed_join
 from evenkeel.operators.lineage import cut_lineage, ensure_checkpoint_dir
-from evenkeel.operators.metrics import combined_fitness, fairness, performance
+from evenkeel.operators.metrics import combined_fitness, fold_report
 from evenkeel.operators.search import genetic_search
 from evenkeel.plans.evaluate import baseline_runs, evaluate_lists, predict_lists, score_baselines, union_all
 from evenkeel.roles import INFEASIBLE, TECHNIQUES, Roles
@@ -108,8 +107,7 @@ def sample_evaluator(
         parts = [x.withColumn("run", F.lit(i)) for i, x in enumerate(outcomes) if isinstance(x, DataFrame)]
         known: dict[int, tuple] = {}
         if parts:
-            every, keys = cut_lineage(union_all(parts)), ["run", "fold"]
-            folds = cut_lineage(keyed_join(performance(every, keys), fairness(every, keys), keys))  # a row a list and fold
+            folds = cut_lineage(fold_report(union_all(parts), ["run", "fold"]))  # a row a list and fold
             for weights in sorted({(r["perf_weight"], r["fair_weight"]) for r in todo}):
                 for r in combined_fitness(folds, ["run"], *weights).collect():  # a row a list
                     if (todo[r["run"]]["perf_weight"], todo[r["run"]]["fair_weight"]) == weights:
