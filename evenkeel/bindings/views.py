@@ -223,7 +223,6 @@ STATIC = RUNS + """, static_scores as (
 # ------------------------------------------------------- method results (orders, customer)
 
 PAIR_KEYS = ["dataset_name", "protected_attribute", "model_identifier"]
-METHODS = ["2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"]
 TREATMENT = "1-URGENT"
 DIRECTIONS = {
     "fairness_score": "lower",
@@ -266,7 +265,7 @@ pairs as (
   select y.metric, y.method as baseline, y.dataset_name, y.protected_attribute,
          y.model_identifier, x.v as x, y.v as y, x.v - y.v as d
   from long_methods y join long_methods x using (metric, dataset_name, protected_attribute, model_identifier)
-  where x.method = '1-URGENT' and y.method in ('2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED'))"""
+  where x.method = '1-URGENT' and y.method <> '1-URGENT')"""
 
 
 # ------------------------------------------------------------ score store (orders)
