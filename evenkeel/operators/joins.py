@@ -33,6 +33,7 @@ def attach(
     weight: str,
     spread: Column,
     how: str = "inner",
+    stored: bool = False,
 ) -> DataFrame:
     """Add the columns of ``groups`` (one row per key) to every row of its group.
 
@@ -41,12 +42,13 @@ def attach(
     ``HOT_PARTS`` groups) are broadcast, and their rows are scattered by ``spread`` in the
     shuffled join that serves all other groups; no task receives a hot group whole.
     ``weight`` is the column of ``groups`` that counts the group's rows. A large group
-    table is written to the checkpoint folder, since it is read several times.
+    table is written to the checkpoint folder, since it is read several times, unless it
+    is ``stored`` already.
     """
     if not keys:  # one group holds all rows
         one = {"__one": F.lit(0)}
         joined = attach(
-            rows.withColumns(one), groups.withColumns(one), ["__one"], weight, spread, how
+            rows.withColumns(one), groups.withColumns(one), ["__one"], weight, spread, how, stored
         )
         return joined.drop("__one")
     spark = rows.sparkSession
@@ -55,7 +57,7 @@ def attach(
         small = spark.createDataFrame(known, groups.schema)
         return keyed_join(rows, F.broadcast(small), keys, how)
 
-    groups = cut_lineage(groups)
+    groups = groups if stored else cut_lineage(groups)
     total = groups.agg(F.sum(weight).alias("t")).first()["t"]
     is_hot = F.col(weight) * HOT_PARTS >= F.lit(total)
     hot = spark.createDataFrame(groups.filter(is_hot).collect(), groups.schema)

@@ -42,6 +42,32 @@ def test_repair(skewed, monkeypatch):
     assert both(monkeypatch, lambda: mitigation.repair_features(skewed, ROLES, ["v"]))
 
 
+def _features(df, count):
+    """``count`` features; the last has NULLs, and some rows have no group."""
+    wide = df.withColumns({f"f{i}": F.col("v") * (i + 1) + F.col("id") % (i + 2) for i in range(count - 1)})
+    wide = wide.withColumn("last", F.when(F.col("id") % 5 != 0, F.col("v")))
+    return wide.withColumn("g", F.when(F.col("id") % 11 != 0, F.col("g"))).drop("v")
+
+
+def test_repair_of_several_features(skewed, monkeypatch):
+    df = _features(skewed, 4)
+    rows = both(monkeypatch, lambda: mitigation.repair_features(df, ROLES).select("id", "g", "f0", "last"))
+    assert len(rows) == 3000
+    assert all((r[3] is None) == (r[0] % 5 == 0 or r[1] is None) for r in rows)
+    assert all((r[2] is None) == (r[1] is None) for r in rows)
+
+
+def test_repair_joins_do_not_grow_with_features(skewed, monkeypatch):
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 5)
+    monkeypatch.setattr(mitigation, "BROADCAST_ROWS", 5)
+
+    def shuffles(count):
+        plan = mitigation.repair_features(_features(skewed, count), ROLES)._jdf.queryExecution().sparkPlan()
+        return plan.toString().count("SortMergeJoin") + plan.toString().count("BroadcastHashJoin")
+
+    assert shuffles(2) == shuffles(6)
+
+
 def test_left_attach_keeps_unmatched_rows(skewed, monkeypatch):
     groups = skewed.filter("g % 2 = 0").groupBy("g").agg(F.count("*").alias("n"))
     out = both(monkeypatch, lambda: joins.attach(skewed, groups, ["g"], "n", F.col("id"), "left"))
