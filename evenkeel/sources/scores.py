@@ -71,8 +71,8 @@ def load_scores(raw: DataFrame, order: str, keys: list[str] = SCORE_KEYS) -> Dat
     parsed = with_weights(raw).withColumns(
         {"techniques": parse_techniques(F.col("techniques")), **{s: score(s) for s in SCORES}, **weights}
     )
-    last = F.max_by(F.struct(*SCORES), order)
-    return parsed.groupBy(*keys).agg(last.alias("s")).select(*keys, "s.*")
+    # one aggregate per number: their buffers are of fixed width, so rows are hashed and not sorted
+    return parsed.groupBy(*keys).agg(*[F.max_by(s, order).alias(s) for s in SCORES])
 
 
 def store_rows(scored: DataFrame, timestamp: Column, keys: list[str] = SCORE_KEYS) -> DataFrame:
