@@ -29,8 +29,7 @@ class Plan:
     the tree; a node of over ``node`` sets branches on by two more drawn tokens at each level, ``levels`` times. A pair
     at the threshold agrees on a path with probability ``jaccard ** depth``, so all trees miss it with
     ``(1 - jaccard ** depth) ** trees``: 1e-10 at 0.85 and 4e-8 at 0.8. Pairs whose agreement is ``slack`` standard
-    deviations below the threshold are not confirmed (3e-6). Pairs of a later tree that agree
-    on the kept bits of an earlier path count as met there; wrongly so with a chance of 2^-24 a tree.
+    deviations below the threshold are not confirmed (3e-6).
     """
 
     shingle: int = 3
@@ -217,14 +216,14 @@ def _likely(m: np.ndarray, other: np.ndarray, least: float) -> Iterator[tuple[in
         yield i, hit, share[hit]
 
 
-def compare_nodes(rows: DataFrame, plan: Plan, best: bool, first_only: bool) -> DataFrame:
+def compare_nodes(rows: DataFrame, plan: Plan, best: bool) -> DataFrame:
     """Likely pairs ``a, b`` in each tree node of ``rows(path, tree, node, label, tokens)``, never inside one label.
 
-    A node holds at most ``plan.node`` sets. ``best`` gives each set's likeliest partner only. ``first_only`` leaves out
-    pairs that already met in an earlier tree.
+    A node holds at most ``plan.node`` sets. ``best`` gives each set's likeliest partner only. Pairs that
+    meet in several trees come once for each.
     """
 
-    def pairs_of(tree: int, names: list[bytes], label: np.ndarray, m: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
+    def pairs_of(names: list[bytes], label: np.ndarray, m: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
         for i, hit, share in _likely(m, m, plan.least):
             ok = label[hit] != label[i]
             hit, share = hit[ok], share[ok]
@@ -232,13 +231,7 @@ def compare_nodes(rows: DataFrame, plan: Plan, best: bool, first_only: bool) ->
                 j = int(hit[np.argmax(share)])
                 yield min(names[i], names[j]), max(names[i], names[j])
             elif not best:
-                hit = hit[hit > i]
-                if first_only and len(hit):
-                    met = np.zeros(len(hit), bool)
-                    for drawn in plan.drawn[:tree]:
-                        met |= (m[hit][:, drawn] == m[i, drawn]).all(axis=1)
-                    hit = hit[~met]
-                for j in hit.tolist():
+                for j in hit[hit > i].tolist():
                     yield min(names[i], names[j]), max(names[i], names[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +245,7 @@ def compare_nodes(rows: DataFrame, plan: Plan, best: bool, first_only: bool) ->
                 if label.max() == 0:
                     continue
                 m = _matrix(part.column("tokens"), plan.tokens)
-                found = list(pairs_of(part.column("tree")[0].as_py(), part.column("node").to_pylist(), label, m))
+                found = list(pairs_of(part.column("node").to_pylist(), label, m))
                 yield pa.record_batch([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], ["a", "b"])
 
         for batch in batches:
@@ -310,14 +303,13 @@ def _blocks(rows: DataFrame, plan: Plan) -> DataFrame:
 def unlinked_pairs(rows: DataFrame, plan: Plan, best: bool) -> DataFrame:
     """Likely pairs between labels over all tree nodes; large nodes branch on until they are small."""
     rows, found, level = written(_mixed(rows), "tree"), [], 0
-    deep = not rows.where(F.col("size") > plan.node).isEmpty()
     while True:
-        found.append(compare_nodes(rows.where(F.col("size") <= plan.node), plan, best, first_only=not deep))
+        found.append(compare_nodes(rows.where(F.col("size") <= plan.node), plan, best))
         large = rows.where(F.col("size") > plan.node)
-        if not deep or large.isEmpty():
+        if large.isEmpty():
             break
         if level == plan.levels:
-            found.append(compare_nodes(_blocks(large, plan), plan, best, first_only=False))
+            found.append(compare_nodes(_blocks(large, plan), plan, best))
             break
         rows, level = written(_mixed(_branch(large, level, plan)), "tree"), level + 1
     return reduce(DataFrame.unionByName, found).distinct()
