@@ -6,6 +6,9 @@ and *ordered* list of practices.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +20,8 @@ SCORE_KEYS = ["dataset", "model", "protected_attribute", "target_column", "techn
 #: Weight of either part of a score in tables that do not name it.
 EQUAL_WEIGHT = 0.5
 SCORES = ["fitness", "fairness", "performance"]
+#: Column of a compacted store that its buckets are made by.
+KEY_HASH = "key_hash"
 
 
 def with_weights(df: DataFrame) -> DataFrame:
@@ -120,14 +125,46 @@ def score_lookup(
     """Add stored scores to requests: the runtime store first, then the archive.
 
     Without ``archive`` (a reset) only the runtime store answers. Each distinct key is
-    looked up once, so a list requested by very many rows does not skew the join.
+    looked up once, so a list requested by very many rows does not skew the join; only
+    keys with an answer are attached to the requests.
     """
     asked, requests = requests.columns, with_weights(requests)
     wanted = requests.groupBy(*keys).agg(F.count("*").alias("__n"))
-    found = wanted.join(_usable(runtime, keys, "__r"), keys, "left")
-    best = F.col("__r")
-    if archive is not None:
-        found = found.join(_usable(archive, keys, "__a"), keys, "left")
+    if archive is None:
+        found, best = wanted.join(_usable(runtime, keys, "__r"), keys), F.col("__r")
+    else:
+        found = wanted.join(_usable(runtime, keys, "__r"), keys, "left").join(_usable(archive, keys, "__a"), keys, "left")
         best = F.coalesce("__r", "__a")
-    scored = found.select(*keys, "__n", *[best[s].alias(s) for s in SCORES])
+    scored = found.filter(best.isNotNull()).select(*keys, "__n", *[best[s].alias(s) for s in SCORES])
     return attach(requests, scored, keys, "__n", F.col(spread), "left").select(*asked, *SCORES)
+
+
+def compact_scores(raw: DataFrame, order: str, name: str, path: str, buckets: int, keys: list[str] = SCORE_KEYS) -> None:
+    """Write the last row of every key of ``raw`` as table ``name`` in ``path``, bucketed and sorted by a hash of the key.
+
+    The table replaces an older one of that name, so ``raw`` must not be read from it. A look-up in it by
+    :func:`lookup_compacted` moves requested keys only. Take as many buckets as keep one of them in a task's memory.
+    """
+    rows = load_scores(raw, order, keys).withColumn(KEY_HASH, F.xxhash64(*keys))
+    # one task a bucket, so a bucket is one file
+    placed = rows.repartition(buckets, KEY_HASH).write.mode("overwrite").option("path", path)
+    placed.bucketBy(buckets, KEY_HASH).sortBy(KEY_HASH).saveAsTable(name)
+
+
+def lookup_compacted(requests: DataFrame, name: str, spread: str, keys: list[str] = SCORE_KEYS) -> DataFrame:
+    """Add the scores of table ``name``, written by :func:`compact_scores`, to requests; NULL where it has none.
+
+    The buckets are joined where they lie: the distinct requested keys go to them, the store is not shuffled. Keys of
+    equal hash are told apart by their columns. Requests of one key are counted before, so none is hot. A NULL key
+    column matches nothing.
+    """
+    asked, requests = requests.columns, with_weights(requests)
+    wanted = requests.groupBy(*keys).agg(F.count("*").alias("__n")).withColumn(KEY_HASH, F.xxhash64(*keys))
+    store = requests.sparkSession.table(name).filter(F.col("fitness").isNotNull())
+    stored = store.select(KEY_HASH, F.struct(*keys).alias("__key"), *SCORES)
+    met = wanted.join(stored.hint("merge"), KEY_HASH)
+    # not a part of the join's condition: the join would then ask for a shuffle by these columns, too
+    same = reduce(and_, [F.col(f"__key.{k}") == F.col(k) for k in keys])
+    picked = met.select(*keys, "__n", *[F.when(same, F.struct(*SCORES)).alias("__s")])
+    scored = picked.groupBy(*keys).agg(F.max("__n").alias("__n"), F.max("__s").alias("__s")).filter("__s is not null")
+    return attach(requests, scored.select(*keys, "__n", "__s.*"), keys, "__n", F.col(spread), "left").select(*asked, *SCORES)
