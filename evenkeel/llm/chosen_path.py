@@ -17,6 +17,9 @@ from evenkeel.llm.shared import written
 from evenkeel.llm.textwords import VISIBLE, U, Words, mix
 
 CHUNK_CHARS = 1_000_000
+#: Columns of a tree's rows that do not change while the tree branches.
+CARRIED = ["tree", "node", "label", "tokens", "paths", "whole"]
+TREE_SCHEMA = "path long, tree int, node binary, label binary, tokens binary, paths binary, whole long"
 #: Bits of the table that tells which sets are wanted; a larger corpus only makes it let more sets through.
 MAX_BITS = 1 << 28
 
@@ -42,6 +45,10 @@ class Plan:
     slack: float = 4.5
     seed: int = 3
 
+    def __post_init__(self) -> None:
+        if not 1 <= self.trees <= 63:
+            raise ValueError("1 to 63 trees: a set's trees are marked in one long")
+
     @cached_property
     def factors(self) -> np.ndarray:
         return np.random.default_rng(self.seed).integers(0, 2**63, self.tokens, dtype=np.uint64) | U(1)
@@ -217,13 +224,18 @@ def _likely(m: np.ndarray, other: np.ndarray, least: float) -> Iterator[tuple[in
 
 
 def compare_nodes(rows: DataFrame, plan: Plan, best: bool) -> DataFrame:
-    """Likely pairs ``a, b`` in each tree node of ``rows(path, tree, node, label, tokens)``, never inside one label.
+    """Likely pairs ``a, b`` in each tree node of ``rows``, never inside one label.
 
-    A node holds at most ``plan.node`` sets. ``best`` gives each set's likeliest partner only. Pairs that
-    meet in several trees come once for each.
+    A node holds at most ``plan.node`` sets. ``best`` gives each set's likeliest partner only. Otherwise pairs that share
+    a whole path (64 bits) of an earlier tree are left to it, if its node was compared as it is: ``whole`` has a bit for
+    each such tree.
     """
 
-    def pairs_of(names: list[bytes], label: np.ndarray, m: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
+    def pairs_of(part: pa.Table, label: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
+        names, m = part.column("node").to_pylist(), _matrix(part.column("tokens"), plan.tokens)
+        tree = part.column("tree")[0].as_py()
+        way = np.frombuffer(b"".join(part.column("paths").to_pylist()), "<i8").reshape(-1, plan.trees)[:, :tree]
+        whole = part.column("whole").to_numpy()[:, None] >> np.arange(tree) & 1 == 1
         for i, hit, share in _likely(m, m, plan.least):
             ok = label[hit] != label[i]
             hit, share = hit[ok], share[ok]
@@ -231,7 +243,9 @@ def compare_nodes(rows: DataFrame, plan: Plan, best: bool) -> DataFrame:
                 j = int(hit[np.argmax(share)])
                 yield min(names[i], names[j]), max(names[i], names[j])
             elif not best:
-                for j in hit[hit > i].tolist():
+                hit = hit[hit > i]
+                met = ((way[hit] == way[i]) & whole[i]).any(axis=1)
+                for j in hit[~met].tolist():
                     yield min(names[i], names[j]), max(names[i], names[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,8 +258,7 @@ def compare_nodes(rows: DataFrame, plan: Plan, best: bool) -> DataFrame:
                 _, label = np.unique(np.array(part.column("label").to_pylist(), object), return_inverse=True)
                 if label.max() == 0:
                     continue
-                m = _matrix(part.column("tokens"), plan.tokens)
-                found = list(pairs_of(part.column("node").to_pylist(), label, m))
+                found = list(pairs_of(part, label))
                 yield pa.record_batch([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], ["a", "b"])
 
         for batch in batches:
@@ -261,7 +274,7 @@ def compare_nodes(rows: DataFrame, plan: Plan, best: bool) -> DataFrame:
         if held:
             yield from done(pa.Table.from_batches(held))
 
-    ordered = rows.repartition("path").sortWithinPartitions("path").select("path", "tree", "node", "label", "tokens")
+    ordered = rows.repartition("path").sortWithinPartitions("path").select("path", *CARRIED)
     return ordered.mapInArrow(run, "a binary, b binary")
 
 
@@ -284,9 +297,7 @@ def _branch(rows: DataFrame, level: int, plan: Plan) -> DataFrame:
                     key = mix(path * U(0x9E3779B97F4A7C15) + drawn.astype(U)) ^ mix(m[np.arange(len(m)), drawn].astype(U) + U(child))
                 yield pa.record_batch([pa.array(key.view(np.int64)), *batch.columns[1:]], batch.schema.names)
 
-    return rows.select("path", "tree", "node", "label", "tokens").mapInArrow(
-        run, "path long, tree int, node binary, label binary, tokens binary"
-    )
+    return rows.select("path", *CARRIED).mapInArrow(run, TREE_SCHEMA)
 
 
 def _blocks(rows: DataFrame, plan: Plan) -> DataFrame:
@@ -297,7 +308,7 @@ def _blocks(rows: DataFrame, plan: Plan) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("__n") - 1))
     out = rows.withColumn("__n", count).withColumn("__b", block).withColumn("__o", other)
     pair = F.xxhash64("path", F.least("__b", "__o"), F.greatest("__b", "__o"))
-    return out.select(pair.alias("path"), "tree", "node", "label", "tokens")
+    return out.select(pair.alias("path"), *CARRIED)
 
 
 def unlinked_pairs(rows: DataFrame, plan: Plan, best: bool) -> DataFrame:
@@ -344,8 +355,11 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     label = components(links)
     for best in (True, False):
         marked = shared.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = _mixed(marked.select("path", "tree", "node", "label")).drop("size")
-        mixed = mixed.join(nodes.select("node", "tokens"), "node").select("path", "tree", "node", "label", "tokens")
+        mixed = _mixed(marked.select("path", "tree", "node", "label"))
+        small = F.when(F.col("size") <= plan.node, F.expr("shiftleft(1L, tree)")).otherwise(F.lit(0).cast("long"))
+        whole = mixed.groupBy("node").agg(F.bit_or(small).alias("whole"))
+        about = nodes.select("node", "tokens", "paths").join(whole, "node")
+        mixed = mixed.drop("size").join(about, "node").select("path", *CARRIED)
         more = written(confirm(unlinked_pairs(mixed, plan, best), sets, plan.percent), "links")
         links = links.unionByName(more)
         label = components(links)
