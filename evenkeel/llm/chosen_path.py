@@ -234,7 +234,7 @@ def compare_nodes(rows: DataFrame, plan: Plan, best: bool) -> DataFrame:
     def pairs_of(part: pa.Table, label: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
         names, m = part.column("node").to_pylist(), _matrix(part.column("tokens"), plan.tokens)
         tree = part.column("tree")[0].as_py()
-        way = np.frombuffer(b"".join(part.column("paths").to_pylist()), "<i8").reshape(-1, plan.trees)[:, :tree]
+        way = None if best else np.frombuffer(b"".join(part.column("paths").to_pylist()), "<i8").reshape(-1, plan.trees)[:, :tree]
         whole = part.column("whole").to_numpy()[:, None] >> np.arange(tree) & 1 == 1
         for i, hit, share in _likely(m, m, plan.least):
             ok = label[hit] != label[i]
@@ -358,7 +358,10 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
         mixed = _mixed(marked.select("path", "tree", "node", "label"))
         small = F.when(F.col("size") <= plan.node, F.expr("shiftleft(1L, tree)")).otherwise(F.lit(0).cast("long"))
         whole = mixed.groupBy("node").agg(F.bit_or(small).alias("whole"))
-        about = nodes.select("node", "tokens", "paths").join(whole, "node")
+        if best:  # every set names its partner in each tree anew, so earlier trees do not matter
+            about = nodes.select("node", "tokens", F.lit(b"").alias("paths"), F.lit(0).cast("long").alias("whole"))
+        else:
+            about = nodes.select("node", "tokens", "paths").join(whole, "node")
         mixed = mixed.drop("size").join(about, "node").select("path", *CARRIED)
         more = written(confirm(unlinked_pairs(mixed, plan, best), sets, plan.percent), "links")
         links = links.unionByName(more)
