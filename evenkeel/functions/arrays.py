@@ -24,7 +24,7 @@ def random_subset(names: list[str], seed: str, *keys: str) -> Column:
         name_array(names),
         lambda n: F.struct(hash32(f"{seed}:order", *keys, n).alias("h"), n.alias("name")),
     )
-    shuffled = F.transform(F.array_sort(keyed), lambda e: e["name"])
+    shuffled = F.sort_array(keyed)["name"]
     return F.slice(shuffled, F.lit(1), size)
 
 

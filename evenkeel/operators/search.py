@@ -7,6 +7,7 @@ its ``population_size``, so collecting one run's parents into an array is bounde
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -18,15 +19,23 @@ from evenkeel.operators.lineage import cut_lineage
 from evenkeel.roles import INFEASIBLE, TECHNIQUES
 
 SEED = "42"
+#: Individuals made by one task.
+TASK_ROWS = 20_000
 
 
 def initial_population(
     runs: DataFrame, names: list[str] = TECHNIQUES, seed: str = SEED
 ) -> DataFrame:
-    """Slots 1..population_size per run, each a random ordered subset of the practices."""
+    """Slots 1..population_size per run, each a random ordered subset of the practices.
+
+    The runs are dealt by ``run_id`` over tasks of about ``TASK_ROWS`` individuals before they multiply, however few
+    files or blocks they are read from; what is grouped by run afterwards stays in its task.
+    """
     slots = F.sequence(F.lit(1), F.col("population_size").cast("int"))
+    total = runs.agg(F.sum("population_size").alias("n")).first()["n"] or 0
     return (
-        runs.withColumn("slot", F.explode(slots))
+        runs.repartition(max(1, math.ceil(total / TASK_ROWS)), "run_id")
+        .withColumn("slot", F.explode(slots))
         .withColumn("generation", F.lit(0))
         .withColumn("techniques", random_subset(names, f"{seed}:init", "run_id", "slot"))
     )
