@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evenkeel.llm.pretokens import chunks
+from evenkeel.llm.pretokens import text_parts
 from evenkeel.llm.shared import written
 from evenkeel.llm.textwords import U, Words, byte_set, mix
 
 #: Characters of text handled at once, unless one text alone is longer.
-CHUNK_CHARS = 1_500_000
+CHUNK_CHARS = 750_000
 #: Slots of a table of counts; with more keys, its bounds only become looser.
 MAX_SLOTS = 1 << 24
 #: Phrases that a task remembers to have sent.
@@ -83,9 +83,12 @@ class Chunk:
 
 
 class Counts:
-    """Upper and lower bounds of the counts of keys, by slots of a table; a key that was not put in may be met, too."""
+    """Upper and lower bounds of the counts of keys, by slots of a table; a key that was not put in may be met, too.
 
-    def __init__(self, low: np.ndarray, high: np.ndarray):
+    Tasks are sent only the side that they ask for (``lows``, ``highs``): every worker holds its own copy.
+    """
+
+    def __init__(self, low: np.ndarray | None, high: np.ndarray | None):
         self.low, self.high = low, high
         scale = 2.0 ** (np.arange(257) / _STEPS)
         self.floor = np.concatenate(([0.0], scale[:255] * (1 - 1e-9)))  # a slot holds the step plus 1, or 0
@@ -110,10 +113,23 @@ class Counts:
         low[at], high[at] = found.column("low").to_numpy(), found.column("high").to_numpy()
         return Counts(low, high)
 
+    def lows(self) -> Counts:
+        return Counts(self.low, None)
+
+    def highs(self) -> Counts:
+        return Counts(None, self.high)
+
+    def least(self, g: np.ndarray) -> np.ndarray:
+        """Least count of each key; 0 for keys that surely are not in the table."""
+        return self.floor[self.low[(g & U(len(self.low) - 1)).astype(np.int64)]]
+
+    def most(self, g: np.ndarray) -> np.ndarray:
+        """Greatest count of each key; 0 for keys that surely are not in the table."""
+        return self.ceil[self.high[(g & U(len(self.high) - 1)).astype(np.int64)]]
+
     def of_keys(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Least and greatest count of each key; 0 and 0 for keys that surely are not in the table."""
-        at = (g & U(len(self.low) - 1)).astype(np.int64)
-        return self.floor[self.low[at]], self.ceil[self.high[at]]
+        """Least and greatest count of each key."""
+        return self.least(g), self.most(g)
 
 
 def _sums(chunk: Chunk, at: np.ndarray, g: np.ndarray, k: int, kind: int | None = None) -> list[pa.Array]:
@@ -126,15 +142,19 @@ def _sums(chunk: Chunk, at: np.ndarray, g: np.ndarray, k: int, kind: int | None
     return [pa.array(np.full(len(at), kind, np.int8)), *words, *[pa.nulls(len(at), pa.int64())] * (4 - k), pa.array(n.astype(np.int64))]
 
 
-def _scan(docs: DataFrame, body: Callable[[Chunk, list[str]], Iterator[list[pa.Array]]], schema: str) -> DataFrame:
-    """Rows that ``body`` makes of each chunk of texts; no text leaves its task."""
+def _scan(docs: DataFrame, body: Callable[..., Iterator[list[pa.Array]]], schema: str, *tables: Counts) -> DataFrame:
+    """Rows that ``body(chunk, langs, *tables)`` makes of each chunk of texts; no text leaves its task.
+
+    ``tables`` are broadcast, so that a worker holds them once and not a second time inside the pickled function.
+    """
     names = [part.split()[0] for part in schema.split(",")]
+    shared = docs.sparkSession.sparkContext.broadcast(tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in chunks(texts, CHUNK_CHARS):
-                for columns in body(Chunk(langs[a:b], texts[a:b]), langs[a:b]):
+            for part in text_parts(batch, 1, CHUNK_CHARS):
+                langs = part.column(0).to_pylist()
+                for columns in body(Chunk(langs, part.column(1).to_pylist()), langs, *shared.value):
                     yield pa.record_batch(columns, names)
 
     return docs.select("lang", "text").mapInArrow(run, schema)
@@ -167,19 +187,17 @@ def _grown(docs: DataFrame, k: int, prefixes: Counts, words: Counts, bound: floa
     first word as a left part, so a / (f(w1) + a) bounds them all.
     """
 
-    def body(chunk: Chunk, langs: list[str]) -> Iterator[list[pa.Array]]:
+    def body(chunk: Chunk, langs: list[str], prefixes: Counts, words: Counts) -> Iterator[list[pa.Array]]:
         at = chunk.starts(k)
-        low_first, _ = words.of_keys(chunk.w[at])
-        low_prefix, high_prefix = prefixes.of_keys(chunk.prints(k - 1)[at])
-        low_last, high_last = words.of_keys(chunk.w[at + k - 1])
-        most = np.minimum(high_prefix, high_last)
+        low_first = words.least(chunk.w[at])
+        most = np.minimum(prefixes.most(chunk.prints(k - 1)[at]), words.most(chunk.w[at + k - 1]))
         ok = (most >= least) & (low_first > 0) & (2e6 * most >= bound * (1 - 1e-9) * (low_first + most))
         at = at[ok]
         if len(at):
             yield _sums(chunk, at, chunk.prints(k)[at], k)
 
     names = [f"w{i + 1}" for i in range(k)]
-    found = _scan(docs, body, ", ".join([f"{n} long" for n in names] + ["a long"]))
+    found = _scan(docs, body, ", ".join([f"{n} long" for n in names] + ["a long"]), prefixes.highs(), words)
     return found.groupBy(*names).agg(F.sum("a").alias("a")).where(F.col("a") >= least)
 
 
@@ -192,33 +210,34 @@ PAIR, TRIPLE, PAIR_LEFT, PAIR_RIGHT, TRIPLE_LEFT, TRIPLE_RIGHT = range(6)
 def _looked_up(docs: DataFrame, pairs: Counts, triples: Counts, grown: dict[int, Counts], words: Counts, plan: Plan) -> DataFrame:
     """``kind, w1 .. w4, n``: counts of wanted parts, and of candidates with one more word that is frequent enough to matter."""
 
-    def body(chunk: Chunk, langs: list[str]) -> Iterator[list[pa.Array]]:
+    def body(chunk: Chunk, langs: list[str], pairs: Counts, triples: Counts, two: Counts, three: Counts, words: Counts) -> Iterator[list[pa.Array]]:
         for kind, k, wanted in ((PAIR, 2, pairs), (TRIPLE, 3, triples)):
             at = chunk.starts(k)
-            at = at[wanted.of_keys(chunk.prints(k)[at])[1] > 0]
+            at = at[wanted.most(chunk.prints(k)[at]) > 0]
             if len(at):
                 yield _sums(chunk, at, chunk.prints(k)[at], k, kind)
-        for k, left, right in ((2, PAIR_LEFT, PAIR_RIGHT), (3, TRIPLE_LEFT, TRIPLE_RIGHT)):
+        for k, grown, left, right in ((2, two, PAIR_LEFT, PAIR_RIGHT), (3, three, TRIPLE_LEFT, TRIPLE_RIGHT)):
             at = chunk.starts(k + 1)
             inner, whole = chunk.prints(k), chunk.prints(k + 1)
             for kind, shift, extra in ((left, 1, 0), (right, 0, k)):
-                low, high = grown[k].of_keys(inner[at + shift])
-                ok = (high > 0) & (100 * words.of_keys(chunk.w[at + extra])[1] >= plan.percent * low)
+                low = grown.least(inner[at + shift])
+                ok = (low > 0) & (100 * words.most(chunk.w[at + extra]) >= plan.percent * low)
                 if ok.any():
                     yield _sums(chunk, at[ok], whole[at[ok]], k + 1, kind)
 
-    found = _scan(docs, body, _ANY).groupBy("kind", *_KEYS).agg(F.sum("n").alias("n"))
+    tables = pairs.highs(), triples.highs(), grown[2].lows(), grown[3].lows(), words.highs()
+    found = _scan(docs, body, _ANY, *tables).groupBy("kind", *_KEYS).agg(F.sum("n").alias("n"))
     return found.where(F.col("n") >= plan.least)  # a part is as frequent as its candidate at least
 
 
 def _texts(docs: DataFrame, wanted: dict[int, Counts]) -> DataFrame:
     """``w1 .. w4, phrase``: the texts of the wanted phrases, once a task or so."""
 
-    def body(chunk: Chunk, langs: list[str], sent: set) -> Iterator[list[pa.Array]]:
-        for k, table in wanted.items():
+    def body(chunk: Chunk, tables: tuple[Counts, ...], sent: set) -> Iterator[list[pa.Array]]:
+        for k, table in zip(sizes, tables):
             at = chunk.starts(k)
             g = chunk.prints(k)[at] if len(at) else np.zeros(0, U)
-            at = at[hit := table.of_keys(g)[1] > 0]
+            at = at[hit := table.most(g) > 0]
             g, first = np.unique(g[hit], return_index=True)
             new = [i for i, x in zip(first.tolist(), g.tolist()) if (k, x) not in sent]
             sent.update((k, x) for x in g.tolist())
@@ -230,11 +249,12 @@ def _texts(docs: DataFrame, wanted: dict[int, Counts]) -> DataFrame:
                 words = [pa.array(chunk.w[at + i].view(np.int64)) for i in range(k)]
                 yield [*words, *[pa.nulls(len(at), pa.int64())] * (4 - k), pa.array(phrases, pa.string())]
 
-    def each() -> Callable[[Chunk, list[str]], Iterator[list[pa.Array]]]:
+    def each() -> Callable[..., Iterator[list[pa.Array]]]:
         sent: set = set()
-        return lambda chunk, langs: body(chunk, langs, sent)
+        return lambda chunk, langs, *tables: body(chunk, tables, sent)
 
-    found = _scan(docs, each(), "w1 long, w2 long, w3 long, w4 long, phrase string")
+    sizes, tables = tuple(wanted), [t.highs() for t in wanted.values()]
+    found = _scan(docs, each(), "w1 long, w2 long, w3 long, w4 long, phrase string", *tables)
     return found.groupBy(*_KEYS).agg(F.min("phrase").alias("phrase"))
 
 

@@ -7,6 +7,8 @@ from functools import cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Characters of text handled at once, unless one text alone is longer.
 CHUNK_CHARS = 1_500_000
@@ -41,6 +43,19 @@ def chunks(texts: Sequence[str], most: int = CHUNK_CHARS) -> Iterator[tuple[int,
         yield first, len(texts)
 
 
+def text_parts(batch: pa.RecordBatch, column: int, most: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
+    """``batch`` in parts of at most ``most`` bytes of text, or of one text; no text of another part becomes a Python object."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    first = size = 0
+    for i, n in enumerate(sizes.tolist()):
+        if size + n > most and i > first:
+            yield batch.slice(first, i - first)
+            first, size = i, 0
+        size += n
+    if first < len(sizes):
+        yield batch.slice(first)
+
+
 def split(texts: Sequence[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
     """UTF-8 of all texts, the byte offsets of their pieces (with the end), and the pieces before each text.
 
