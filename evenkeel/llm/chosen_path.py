@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.llm.components import components
-from evenkeel.llm.pretokens import chunks
-from evenkeel.llm.shared import written
+from evenkeel.llm.pretokens import text_parts
+from evenkeel.llm.shared import Tables, written
 from evenkeel.llm.textwords import VISIBLE, U, Words, mix
 
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 250_000
+#: Shingles hashed at once: their products with all factors stay in a core's cache.
+BLOCK_SHINGLES = 64
 #: Columns of a tree's rows that do not change while the tree branches.
 CARRIED = ["tree", "node", "label", "tokens", "paths", "whole"]
 TREE_SCHEMA = "path long, tree int, node binary, label binary, tokens binary, paths binary, whole long"
@@ -100,9 +102,13 @@ def min_tokens(values: np.ndarray, plan: Plan) -> tuple[bytes, bytes]:
     """The path of a set in each tree (64 bits), and 8 bits of its min-wise token of each hash function."""
     best = np.full(plan.tokens, 2**64 - 1, U)
     with np.errstate(over="ignore"):
-        for a in range(0, len(values), 2048):
-            part = values[a : a + 2048, None] * plan.factors[None, :]
-            part ^= part >> U(32)
+        room = np.empty((2, min(BLOCK_SHINGLES, len(values)), plan.tokens), U)
+        for a in range(0, len(values), BLOCK_SHINGLES):
+            block = values[a : a + BLOCK_SHINGLES, None]
+            part, high = room[:, : len(block)]
+            np.multiply(block, plan.factors[None, :], out=part)
+            np.right_shift(part, U(32), out=high)
+            np.bitwise_xor(part, high, out=part)
             np.minimum(best, part.min(axis=0), out=best)
         best = mix(best)
         path = np.arange(1, plan.trees + 1, dtype=U)
@@ -113,9 +119,8 @@ def min_tokens(values: np.ndarray, plan: Plan) -> tuple[bytes, bytes]:
 
 def _batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[list, list[np.ndarray]]]:
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for a, b in chunks(texts, CHUNK_CHARS):
-            yield ids[a:b], shingle_sets(texts[a:b], k)
+        for part in text_parts(batch, 1, CHUNK_CHARS):
+            yield part.column(0).to_pylist(), shingle_sets(part.column(1).to_pylist(), k)
 
 
 def sketch(docs: DataFrame, plan: Plan) -> DataFrame:
@@ -311,9 +316,9 @@ def _blocks(rows: DataFrame, plan: Plan) -> DataFrame:
     return out.select(pair.alias("path"), *CARRIED)
 
 
-def unlinked_pairs(rows: DataFrame, plan: Plan, best: bool) -> DataFrame:
+def unlinked_pairs(rows: DataFrame, plan: Plan, best: bool, made: Tables) -> DataFrame:
     """Likely pairs between labels over all tree nodes; large nodes branch on until they are small."""
-    rows, found, level = written(_mixed(rows), "tree"), [], 0
+    rows, found, level = made.written(_mixed(rows), "tree"), [], 0
     while True:
         found.append(compare_nodes(rows.where(F.col("size") <= plan.node), plan, best))
         large = rows.where(F.col("size") > plan.node)
@@ -322,7 +327,7 @@ def unlinked_pairs(rows: DataFrame, plan: Plan, best: bool) -> DataFrame:
         if level == plan.levels:
             found.append(compare_nodes(_blocks(large, plan), plan, best))
             break
-        rows, level = written(_mixed(_branch(large, level, plan)), "tree"), level + 1
+        rows, level = made.written(_mixed(_branch(large, level, plan)), "tree"), level + 1
     return reduce(DataFrame.unionByName, found).distinct()
 
 
@@ -338,11 +343,14 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     and are linked with nothing. Rows that repeat a doc_id keep their own texts' links; nulls in doc_id count last. An
     empty table gives an empty table; other columns are ignored.
     """
-    every = written(sketch(docs, plan), "sketch")
+    sketched = Tables(docs.sparkSession)
+    every = sketched.written(sketch(docs, plan), "sketch")
     nodes = every.where("n_shingles > 0").groupBy("node").agg(
         F.min("doc_id").alias("rep"), F.any_value("paths").alias("paths"), F.any_value("tokens").alias("tokens")
     )
     nodes = written(nodes, "nodes")
+    every = written(every.drop("paths", "tokens"), "digests")
+    sketched.remove()
     rows = paths(nodes, plan)
     shared = rows.groupBy("path").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1").drop("n")
     shared = written(rows.join(shared, "path"), "tree")
@@ -363,13 +371,15 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
         else:
             about = nodes.select("node", "tokens", "paths").join(whole, "node")
         mixed = mixed.drop("size").join(about, "node").select("path", *CARRIED)
-        more = written(confirm(unlinked_pairs(mixed, plan, best), sets, plan.percent), "links")
+        trees = Tables(docs.sparkSession)
+        more = written(confirm(unlinked_pairs(mixed, plan, best, trees), sets, plan.percent), "links")
+        trees.remove()
         links = links.unionByName(more)
         label = components(links)
     ids = nodes.join(label, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     smallest = ids.groupBy("label").agg(F.min("rep").alias("component"))
     ids = ids.join(smallest, "label").select(F.col("node").alias("__node"), "component")
-    out = every.drop("paths", "tokens").join(ids, (F.col("node") == F.col("__node")) & (F.col("n_shingles") > 0), "left")
+    out = every.join(ids, (F.col("node") == F.col("__node")) & (F.col("n_shingles") > 0), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 

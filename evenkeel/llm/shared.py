@@ -36,6 +36,23 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+class Tables:
+    """Intermediate tables of one step, deleted together once all that reads them is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, purpose: str) -> DataFrame:
+        path = shared_folder(self.spark, purpose)
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def remove(self) -> None:
+        while self.paths:
+            remove(self.spark, self.paths.pop())
+
+
 def lower_ascii(text: Column) -> Column:
     """``text`` with A-Z, and no other letter, in lower case."""
     return F.translate(text, UPPER, LOWER)
