@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from evenkeel.operators.lineage import ensure_checkpoint_dir
 
-#: Rows of one block and about the bytes of histograms that a pass may hold.
-BLOCK_ROWS = 60_000
+#: Rows that are worth a task, the most rows of one, and about the bytes of histograms that a pass may hold.
+BLOCK_ROWS, TASK_ROWS = 60_000, 4_000_000
 HISTOGRAM_BYTES = 64 << 20
 
 
@@ -33,7 +33,10 @@ class Plan:
 
 @dataclass
 class Block:
-    """Training rows of some runs: their bins by feature, labels, weights and the sum of all trees so far."""
+    """Training rows of some runs: their bins (a row a feature), labels, weights and the sum of all trees so far.
+
+    ``run`` and ``weight`` have a single number if it is that of all rows.
+    """
 
     run: np.ndarray
     y: np.ndarray
@@ -59,13 +62,16 @@ class Trees:
         return cls(np.full(shape, -1, np.int32), np.zeros(shape, np.int32), np.zeros(shape))
 
     def nodes(self, run: np.ndarray, bins: np.ndarray, depth: int) -> np.ndarray:
-        """The node that each row reaches within so many steps."""
-        node = np.ones(len(run), np.int64)
+        """The node that each row reaches within so many steps; ``bins`` has a row a feature."""
+        n = bins.shape[1]
+        feature, cut, flat = self.feature.ravel(), self.cut.ravel(), bins.ravel()
+        base, place = run.astype(np.int64) * self.feature.shape[1], np.arange(n)
+        node = np.ones(n, np.int64)
         for _ in range(depth):
-            feature = self.feature[run, node]
-            go = np.flatnonzero(feature >= 0)
-            at = node[go]
-            node[go] = 2 * at + (bins[go, feature[go]] > self.cut[run[go], at])
+            at = base + node
+            by = feature.take(at)
+            right = flat.take(np.maximum(by, 0) * np.int64(n) + place) > cut.take(at)
+            node = np.where(by < 0, node, 2 * node + right)
         return node
 
 
@@ -100,10 +106,10 @@ class Forest:
 
 
 def to_bins(edges: list[np.ndarray], features: np.ndarray) -> np.ndarray:
-    """The number of edges below each value."""
-    out = np.empty(features.shape, np.uint8)
+    """The number of edges below each value, a row a feature."""
+    out = np.empty(features.shape[::-1], np.uint8)
     for f, e in enumerate(edges):
-        out[:, f] = np.searchsorted(e, features[:, f], "left")
+        out[f] = np.searchsorted(e, features[:, f], "left")
     return out
 
 
@@ -130,25 +136,50 @@ def _blocks(rows: DataFrame, edges: list[np.ndarray]) -> DataFrame:
     return rows.select("run", "y", "weight", "features").mapInArrow(run, "run binary, y binary, weight binary, bins binary")
 
 
-def _slopes(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    p = 1 / (1 + np.exp(-block.margin))
-    return (p - block.y) * block.weight, np.maximum(p * (1 - p), 1e-16) * block.weight
+def _short(values: np.ndarray) -> np.ndarray:
+    """A single number if all are equal."""
+    return values[:1] if (values == values[0]).all() else values
+
 
+def _slopes(block: Block, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    p, weight = 1 / (1 + np.exp(-block.margin[rows])), block.weight if len(block.weight) == 1 else block.weight[rows]
+    return (p - block.y[rows]) * weight, np.maximum(p * (1 - p), 1e-16) * weight
 
-def _histogram(block: Block, trees: Trees, depth: int, runs: int, bins: int, first: int, last: int) -> np.ndarray:
-    """Sums of slope and curvature by (run, node of this depth, feature, bin); below the root of left children only."""
-    n_nodes = max(1, (1 << depth) >> 1)
+
+def _histogram(block: Block, trees: Trees, depth: int, bins: int, first: int, last: int) -> tuple[int, np.ndarray]:
+    """The least run of the block, and from there on sums of slope and curvature by (feature, run, node of this depth,
+    bin); below the root of left children only."""
+    n_nodes, low = max(1, (1 << depth) >> 1), int(block.run.min())
     node = trees.nodes(block.run, block.bins, depth)
     rows = np.flatnonzero((node >= (1 << depth)) & ((node % 2 == 0) | (depth == 0)))
+    run = block.run.astype(np.int64) - low
     place = (node[rows] - (1 << depth)) // (2 if depth else 1)
-    base = block.run[rows].astype(np.int64) * n_nodes + place
-    g, h = (x[rows] for x in _slopes(block))
-    out = np.zeros((2, last - first, runs * n_nodes * bins))
+    base = ((run if len(run) == 1 else run[rows]) * n_nodes + place) * bins
+    g, h = _slopes(block, rows)
+    runs = int(run.max()) + 1
+    out = np.empty((2, last - first, runs * n_nodes * bins))
     for f in range(first, last):
-        at = base * bins + block.bins[rows, f]
+        at = base + block.bins[f].take(rows)
         out[0, f - first] = np.bincount(at, g, out.shape[2])
         out[1, f - first] = np.bincount(at, h, out.shape[2])
-    return out.reshape(2, last - first, runs, n_nodes, bins)
+    return low, out.reshape(2, last - first, runs, n_nodes, bins)
+
+
+def _sums(blocks: Iterator[Block], trees: Trees, depth: int, bins: int, first: int, last: int) -> Iterator[dict[int, np.ndarray]]:
+    """The histograms of a task's blocks by run, added up; only the runs that it has rows of."""
+    sums: dict[int, np.ndarray] = {}
+    for block in blocks:
+        low, found = _histogram(block, trees, depth, bins, first, last)
+        for i in range(found.shape[2]):
+            if low + i in sums:
+                sums[low + i] += found[:, :, i]
+            else:
+                sums[low + i] = found[:, :, i].copy()
+    yield sums
+
+
+def _together(a: dict[int, np.ndarray], b: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    return a | {run: a[run] + x if run in a else x for run, x in b.items()}
 
 
 def _best(full: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -176,19 +207,22 @@ def fit(rows: DataFrame, runs: int, n_features: int, plan: Plan = Plan()) -> For
     Features are binned once. A level of one tree of all runs takes one pass, so passes are trees times depth, however
     many runs there are; only left children are summed, their siblings are the difference to the parent. The driver gets
     sums by (run, node, feature, bin), whose number does not depend on the rows. The rows' margins are kept in memory
-    (or on disk) and written to the checkpoint folder every few trees, so a lost executor repeats only those.
+    (or on disk) and written to the checkpoint folder every few trees, so a lost executor repeats only those. Rows lie
+    by run, in about as many tasks as there are cores: a task adds up its blocks and hands on the runs that it holds.
     """
     spark = rows.sparkSession
     ensure_checkpoint_dir(spark)
     edges = bin_edges(rows, n_features, plan.bins)
     n = rows.count()
-    tasks = max(1, -(-n // BLOCK_ROWS))
+    tasks = max(1, min(-(-n // BLOCK_ROWS), max(spark.sparkContext.defaultParallelism, -(-n // TASK_ROWS))))
+    placed = rows.withColumn("__place", F.monotonically_increasing_id()).repartitionByRange(tasks, "run", "__place")
 
     def unpack(r: tuple) -> Block:
-        run = np.frombuffer(r[0], np.int32)
-        return Block(run, np.frombuffer(r[1]), np.frombuffer(r[2]), np.frombuffer(r[3], np.uint8).reshape(len(run), -1), np.zeros(len(run)))
+        run, y, weight = np.frombuffer(r[0], np.int32), np.frombuffer(r[1]), np.frombuffer(r[2])
+        bins, whole = np.frombuffer(r[3], np.uint8).reshape(-1, len(run)), ((y == 0) | (y == 1)).all()
+        return Block(_short(run), y.astype(np.uint8) if whole else y, _short(weight), bins, np.zeros(len(y)))
 
-    state = _blocks(rows.repartition(tasks), edges).rdd.map(unpack).persist(StorageLevel.MEMORY_AND_DISK)
+    state = _blocks(placed.sortWithinPartitions("run"), edges).rdd.map(unpack).persist(StorageLevel.MEMORY_AND_DISK)
     made: list[Trees] = []
     old: list = []
     for t in range(plan.trees):
@@ -197,12 +231,12 @@ def fit(rows: DataFrame, runs: int, n_features: int, plan: Plan = Plan()) -> For
         for depth in range(plan.depth):
             begin, n_nodes = 1 << depth, max(1, (1 << depth) >> 1)
             step = max(1, HISTOGRAM_BYTES // (16 * runs * n_nodes * plan.bins))
-            parts = []
+            mine = np.zeros((2, n_features, runs, n_nodes, plan.bins))
             for a in range(0, n_features, step):
                 b = min(n_features, a + step)
-                sums = state.map(lambda x, a=a, b=b: _histogram(x, trees, depth, runs, plan.bins, a, b))
-                parts.append(sums.treeReduce(np.add, depth=1 if tasks <= 16 else 2))
-            mine = np.concatenate(parts, axis=1)
+                sums = state.mapPartitions(lambda x, a=a, b=b: _sums(x, trees, depth, plan.bins, a, b))
+                for run, found in sums.treeReduce(_together, depth=1 if tasks <= 64 else 2).items():
+                    mine[:, a:b, run] = found
             while old:
                 old.pop().unpersist()
             if above is None:

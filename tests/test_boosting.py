@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark import RDD
 
 from evenkeel.plans import boosting
 from evenkeel.plans.boosting import Plan
@@ -87,3 +88,19 @@ def test_passes_do_not_depend_on_the_number_of_runs(table, monkeypatch):
     all_runs = len(seen)
     boosting.fit(df.where("run = 0"), 1, 4, plan)
     assert all_runs <= plan.trees * plan.depth and len(seen) - all_runs == all_runs
+
+
+def test_a_pass_has_as_many_tasks_as_cores_and_hands_on_their_own_runs(table, spark, monkeypatch):
+    df, _ = table
+    seen = []
+
+    def reduce(rdd, f, depth, tree=RDD.treeReduce):
+        parts = rdd.collect()
+        seen.append((rdd.getNumPartitions(), sum(len(p) for p in parts)))
+        return tree(rdd, f, depth)
+
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(RDD, "treeReduce", reduce)
+    boosting.fit(df, 3, 4, Plan(trees=1, depth=2, bins=8))
+    cores = spark.sparkContext.defaultParallelism
+    assert seen and all(tasks <= cores and held < 3 + cores for tasks, held in seen)
