@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -134,7 +135,9 @@ def genetic_search(
     population = initial_population(runs, names, seed)
     finished = None
     for g in range(span["hi"]):
+        population = population.persist(StorageLevel.MEMORY_AND_DISK)  # a look-up reads it for its keys and for its rows
         scored = cut_lineage(score(population))
+        population.unpersist()
         done = best_of(scored.filter(F.col("generations") == g + 1), run_cols)
         finished = done if finished is None else finished.unionByName(done)
         going = scored.filter(F.col("generations") > g + 1)

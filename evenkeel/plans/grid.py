@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from itertools import islice
 from uuid import uuid4
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -168,7 +169,8 @@ def run_grid(
     failed: list[DataFrame] = []
     seconds: list[float] = []
     start = time.time()
-    spark, store, folder = runs.sparkSession, with_weights(runtime), None
+    spark, folder = runs.sparkSession, None
+    store = with_weights(runtime).persist(StorageLevel.MEMORY_AND_DISK)  # every generation looks up in it
     if evaluate is not None:
         ensure_checkpoint_dir(spark)
         folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/evaluated-{uuid4().hex}"
@@ -189,6 +191,7 @@ def run_grid(
         return score_lookup(keyed, known, archive, "__row").drop("__row")
 
     best = cut_lineage(genetic_search(runs, score))
+    store.unpersist()
     seconds.append(time.time() - start)
     took = F.element_at(F.array(*[F.lit(x) for x in seconds[1:]]), F.col("generations").cast("int"))
     if failed:
