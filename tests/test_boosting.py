@@ -104,3 +104,22 @@ def test_a_pass_has_as_many_tasks_as_cores_and_hands_on_their_own_runs(table, sp
     boosting.fit(df, 3, 4, Plan(trees=1, depth=2, bins=8))
     cores = spark.sparkContext.defaultParallelism
     assert seen and all(tasks <= cores and held < 3 + cores for tasks, held in seen)
+
+
+def test_rows_of_one_run_take_the_same_way_byte_by_byte():
+    rng = np.random.default_rng(3)
+    trees, bins = boosting.Trees.empty(2, 6), rng.integers(0, 64, (5, 4000)).astype(np.uint8)
+    trees.feature[:, 1:64], trees.cut[:, 1:64] = rng.integers(0, 5, (2, 63)), rng.integers(5, 55, (2, 63))
+    trees.feature[1, [5, 8, 19]] = -1
+    for depth in range(7):
+        wide = trees.nodes(np.ones(4000, int), bins, depth)
+        assert (trees.nodes(np.array([1]), bins, depth) == wide).all()
+
+
+def test_a_worker_settles_once(table, monkeypatch):
+    monkeypatch.setattr(boosting, "_settled", [])
+    seen = []
+    monkeypatch.setattr(boosting.gc, "freeze", lambda: seen.append(1))
+    for _ in range(3):
+        list(boosting._sums(iter(()), boosting.Trees.empty(1, 2), 0, 8, 0, 1))
+    assert seen == [1]
