@@ -105,8 +105,9 @@ def noisy(spark):
     return rows.filter("row_id % 2 = 0"), rows.filter("row_id % 2 = 1")
 
 
-def test_is_as_good_as_the_forest_of_pyspark(noisy):
+def test_is_as_good_as_the_forest_of_pyspark(noisy, monkeypatch):
     train, test = noisy
+    monkeypatch.setattr(evaluate, "TASK_ROWS", 1000)
     right = lambda df: df.filter("pred = y").count() / 3000
     ours = evaluate.fit_predict(train, test, "rf")
     theirs = evaluate.build_classifier("rf", 3000).fit(train.coalesce(1)).transform(test).select("y", F.col("prediction").alias("pred"))
@@ -117,6 +118,7 @@ def test_forests_of_all_parts_take_a_pass_a_level(noisy, monkeypatch):
     """One shuffle a level for all folds together, and no fit of a single forest."""
     train, test = noisy
     plan, seen = Plan(trees=5, depth=3), []
+    monkeypatch.setattr(evaluate, "TASK_ROWS", 1000)
     monkeypatch.setattr(evaluate, "FOREST", plan)
     monkeypatch.setattr(evaluate, "build_classifier", lambda *_: pytest.fail("a forest was fitted alone"))
     from pyspark import RDD
@@ -127,8 +129,17 @@ def test_forests_of_all_parts_take_a_pass_a_level(noisy, monkeypatch):
     assert len(seen) == plan.depth
 
 
-def test_other_labels_and_an_alike_part_beside(noisy):
+def test_rows_for_one_task_keep_the_forest_of_pyspark(noisy, monkeypatch):
     train, test = noisy
+    monkeypatch.setattr(forests, "fit", lambda *_: pytest.fail("a small forest was grown together"))
+    ours = evaluate.fit_predict(train, test, "rf").select("row_id", "pred")
+    theirs = evaluate.build_classifier("rf", 3000).fit(train.coalesce(1)).transform(test)
+    assert ours.exceptAll(theirs.select("row_id", F.col("prediction").cast("int").alias("pred"))).count() == 0
+
+
+def test_other_labels_and_an_alike_part_beside(noisy, monkeypatch):
+    train, test = noisy
+    monkeypatch.setattr(evaluate, "TASK_ROWS", 1000)
     three = train.withColumn("y", F.when(F.col("row_id") % 10 == 0, 2).otherwise(F.col("y")))
     found = evaluate.predict_all([evaluate.Part(three, test), evaluate.Part(train, test)], ["rf"])
     assert all(x.count() == 3000 for x in found.values())
