@@ -89,6 +89,29 @@ def test_bags_are_poisson_and_differ_by_tree():
     assert abs(np.corrcoef(a, b)[0, 1]) < 0.01
 
 
+def test_bags_are_those_of_the_poisson_table():
+    key = np.arange(300_000, dtype=np.uint64) * np.uint64(977)
+    for tree in (0, 99):
+        salt = forests._mixed(np.array([(42 << 20) + tree + 1], np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        drawn = (forests._mixed(key ^ salt) >> np.uint64(11)) * 2.0**-53
+        assert (forests.bags(key, tree, 42) == np.searchsorted(forests.BAG, drawn, "right")).all()
+
+
+def test_states_are_held_for_as_many_trees_as_the_limit_allows(table, spark, monkeypatch):
+    """The trees do not depend on it, and each state is a value of its own, not one of all trees."""
+    df, _ = table
+    plan, rows = Plan(trees=5, depth=4, bins=8), df.persist()
+    whole, held = forests.fit(rows, 4, plan), []
+    monkeypatch.setattr(forests, "STATE_BYTES", 2 * 2 * 450 // spark.sparkContext.defaultParallelism + 1)  # two trees
+    monkeypatch.setattr(forests, "_grow_group", lambda *a, f=forests._grow_group: held.append(len(a[2])) or f(*a))
+    parted = forests.fit(rows, 4, plan)
+    assert held == [2, 2, 1]
+    run, features = np.arange(600) % 3, np.random.default_rng(1).random((600, 4)) * 3
+    assert (whole.probability(run, features) == parted.probability(run, features)).all()
+    one = forests.Rows(0, np.arange(9, dtype=np.uint64), np.ones(1), np.zeros((4, 9), np.uint8))
+    assert [x[1].nbytes for x in list(forests._begun(one, plan, 1, 4))[1:]] == [18, 18, 18]
+
+
 def test_a_rare_least_value_keeps_a_bin(spark):
     rows = spark.range(1000).select(F.array((F.col("id") > 0).cast("double")).alias("features"))
     edges = forests.bin_edges(rows, 1, 32)
