@@ -220,12 +220,18 @@ def _runs(keys: np.ndarray) -> Iterator[tuple[int, int]]:
     yield from zip(cuts[:-1].tolist(), cuts[1:].tolist())
 
 
-def _likely(m: np.ndarray, other: np.ndarray, least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each row of ``m``: its number, the rows of ``other`` whose tokens agree often enough, and how often."""
+def _likely(m: np.ndarray, least: float, after: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each row of ``m``: its number, the rows (``after``: those after it) whose tokens agree often enough, and how often."""
+    columns = np.ascontiguousarray(m.T)
     for i in range(len(m)):
-        share = (other == m[i]).mean(axis=1)
+        first = i + 1 if after else 0
+        same = np.zeros(len(m) - first, np.int64)
+        for a in range(0, len(columns), 255):  # sums of a byte hold so many
+            part = columns[a : a + 255]
+            same += np.add.reduce((part[:, first:] == part[:, i : i + 1]).view(np.uint8), axis=0, dtype=np.uint8)
+        share = same / len(columns)
         hit = np.flatnonzero(share >= least)
-        yield i, hit, share[hit]
+        yield i, hit + first, share[hit]
 
 
 def compare_nodes(rows: DataFrame, plan: Plan, best: bool) -> DataFrame:
@@ -241,14 +247,13 @@ def compare_nodes(rows: DataFrame, plan: Plan, best: bool) -> DataFrame:
         tree = part.column("tree")[0].as_py()
         way = None if best else np.frombuffer(b"".join(part.column("paths").to_pylist()), "<i8").reshape(-1, plan.trees)[:, :tree]
         whole = part.column("whole").to_numpy()[:, None] >> np.arange(tree) & 1 == 1
-        for i, hit, share in _likely(m, m, plan.least):
+        for i, hit, share in _likely(m, plan.least, after=not best):
             ok = label[hit] != label[i]
             hit, share = hit[ok], share[ok]
             if best and len(hit):
                 j = int(hit[np.argmax(share)])
                 yield min(names[i], names[j]), max(names[i], names[j])
             elif not best:
-                hit = hit[hit > i]
                 met = ((way[hit] == way[i]) & whole[i]).any(axis=1)
                 for j in hit[~met].tolist():
                     yield min(names[i], names[j]), max(names[i], names[j])

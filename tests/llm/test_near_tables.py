@@ -34,3 +34,17 @@ def test_sketches_and_trees_are_deleted_once_they_are_used(spark, tmp_path, monk
     done = chosen_path.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {(r.doc_id, r.component_id) for r in done.collect()} == {(i, i // 4 * 4) for i in range(40)}
     assert any(columns for _, columns in made) and not [path for path, _ in made if os.path.exists(path)]
+
+
+def test_equal_tokens_are_counted_by_columns():
+    """Also where more tokens agree than a byte holds; ``after`` leaves out what was compared before."""
+    rng = np.random.default_rng(2)
+    m = rng.integers(0, 4, (40, 700)).astype("u1")
+    m[7], m[20, :650] = m[3], m[3, :650]
+    for after in (False, True):
+        found = {i: (hit.tolist(), share.tolist()) for i, hit, share in chosen_path._likely(m, 0.3, after)}
+        for i in range(40):
+            share = (m == m[i]).mean(axis=1)
+            hit = [j for j in range(40) if share[j] >= 0.3 and (j > i or not after)]
+            assert found[i] == (hit, share[hit].tolist())
+    assert found[3][0] == [7, 20]
